@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1,
+        "op3_decontamination": decontaminate.op3,
         "op5_bpe": bpe.op5,
         "op8_sharding": sharding.op8,
         "op9_quality_rules": quality_rules.op9,

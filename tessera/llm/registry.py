@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, language_id, quality_classifier, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": url_filter.op1,
         "op3_decontamination": decontaminate.op3,
         "op5_bpe": bpe.op5,
+        "op6_quality_classifier": quality_classifier.op6,
+        "op7_language_id": language_id.op7,
         "op8_sharding": sharding.op8,
         "op9_quality_rules": quality_rules.op9,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, language_id, quality_classifier, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, html_extraction, language_id, quality_classifier, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7,
         "op8_sharding": sharding.op8,
         "op9_quality_rules": quality_rules.op9,
+        "op10_html_extraction": html_extraction.op10,
     }
 
 

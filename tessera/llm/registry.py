@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, html_extraction, language_id, quality_classifier, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, quality_classifier, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1,
+        "op2_ngram_jaccard": ngram_jaccard.op2,
         "op3_decontamination": decontaminate.op3,
         "op5_bpe": bpe.op5,
         "op6_quality_classifier": quality_classifier.op6,

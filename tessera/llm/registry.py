@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, quality_classifier, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, pii, quality_classifier, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": url_filter.op1,
         "op2_ngram_jaccard": ngram_jaccard.op2,
         "op3_decontamination": decontaminate.op3,
+        "op4_pii": pii.op4,
         "op5_bpe": bpe.op5,
         "op6_quality_classifier": quality_classifier.op6,
         "op7_language_id": language_id.op7,

@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.catalogue import ORACLES, QUERIES, Query
+
+MODULES = (
+    "tessera.plans.dashboard",
+    "tessera.plans.relational",
+    "tessera.plans.rows",
+    "tessera.plans.adhoc",
+    "tessera.plans.policy_queries",
+    "tessera.plans.filter_queries",
+    "tessera.operators.detect_queries",
+    "tessera.sources.lake_queries",
+    "tessera.streaming.stream_queries",
+)
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(m)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    """Documents -> validated spans -> scores -> tiers: the file statistics of the dashboard."""
+    from tessera.plans.dashboard import file_stats
+
+    return file_stats(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)

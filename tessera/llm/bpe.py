@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose tokens a worker remembers, in each of two generations.
-MEMO = 250_000
+MEMO = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -128,6 +128,9 @@ class Codec:
         self.new[word] = got
         return got
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, little-endian, 4 bytes each."""
         if not text:
@@ -196,6 +199,7 @@ def coded(df: DataFrame, path: str | None = None, keep: Iterable[str] = ("doc_id
                     + [pa.array(counts, pa.int64()), pa.array(left, pa.string() if digest else pa.list_(pa.int32())), pa.array(right, pa.string())],
                     names=[*keep, *[n for n, _ in more]],
                 )
+        c.forget()  # the worker lives on for other stages
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ A row may be as long as memory allows; no text is cut.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -97,10 +98,10 @@ def measure_chunk(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     return out
 
 
-def measurements(df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and one column `m` with MEASURES of each row's whole text. Map-only."""
+def measurements(df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text", name: str = "m") -> DataFrame:
+    """The kept columns and one column with MEASURES of each row's whole text. Map-only."""
     keep = list(keep)
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("m", _ALL, False)])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, _ALL, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,23 +109,24 @@ def measurements(df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "
             for a, b, buf, offsets in text_chunks(column):
                 got = measure_chunk(buf, offsets)
                 m = pa.StructArray.from_arrays([pa.array(got[x].astype(np.int64)) for x in MEASURES], names=list(MEASURES))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [m], names=[*keep, "m"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [m], names=[*keep, name])
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def failures() -> Column:
-    """The failure bits of all rules, from measurement columns."""
+def failures(struct: str = "") -> Column:
+    """The failure bits of all rules, from measurement columns or from those of a struct."""
     bits = F.lit(0).cast("long")
     for r in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+        fails = re.sub(r"\b(n_\w+|word_chars)\b", rf"{struct}.\1", r.fails) if struct else r.fails
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
 def ledger(df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, the measurements and `failed_bits`."""
     keep = list(keep)
-    return measurements(df, keep, text).select(*keep, "m.*").withColumn("failed_bits", failures())
+    return measurements(df, keep, text, "__m").select(*keep, "__m.*").withColumn("failed_bits", failures())
 
 
 def rejects(policy: str, bits: str | Column = "failed_bits") -> Column:
@@ -153,23 +155,7 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
 def filter_documents(df: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """Rows the policy keeps, with all their columns. The verdict is made in the pass that reads the row."""
     columns = df.columns
-    led = measurements(df.select("*"), columns, text).select(*columns, "m.*") if not set(columns) & set(MEASURES) else None
-    if led is None:  # clashing names: the measurements stay inside their struct
-        m = measurements(df, columns, text)
-        led = m.withColumn("__failed", F.transform(F.array("m"), lambda x: _struct_failures(x))[0])
-        return led.where(~rejects(policy, "__failed")).select(*columns)
-    return led.where(~rejects(policy, failures())).select(*columns)
-
-
-def _struct_failures(m: Column) -> Column:
-    import re
-
-    bits = F.lit(0).cast("long")
-    for r in RULES:
-        # the rules' names of measurements, looked up in the struct
-        parts = re.sub(r"\b(n_\w+|word_chars)\b", r"m.\1", r.fails)
-        bits = bits.bitwiseOR(F.when(F.expr(parts), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return bits
+    return measurements(df, columns, text, "__m").where(~rejects(policy, failures("__m"))).select(*columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

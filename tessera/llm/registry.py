@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, pii, quality_classifier, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, oracles, pii, quality_classifier, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard": oracles.OP2, "op3_decontamination": oracles.OP3, "op9_quality_rules": oracles.OP9}

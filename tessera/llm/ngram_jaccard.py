@@ -9,13 +9,18 @@ Cost-based allocation. A segment is weak where its part is empty or holds only f
 bounded list of heavy hitters of the corpus): its key would be shared by unrelated documents. With at most
 `slack` weak segments a set leaves them out (cost 0) and indexes the rest exactly (cost 1). With more, it
 also indexes the one-deletion neighbourhoods of the segments that have two or more rare shingles (cost 2),
-as long as the allocations sum to H + 1; else (sets that are mostly frequent, such as the members of a
-large group of near copies) it indexes its weak segments too. Any pair of similar sets shares a key under
-every combination of these choices, so no list of heavy hitters can lose a pair.
-
-Keys shared by several sets give candidates in two rounds: first every set is verified against the least
-one of its key (a number linear in the keys); the links make components; then, only in keys where
-components still meet, pairs across components are verified. Pairs within a component need no proof.
+as long as the allocations sum to H + 1. Where they don't (sets that are mostly frequent, such as the
+members of a large group of near copies, or a short text around a passage that thousands share), the pigeonhole
+would need keys that are hot; two such sets meet in the rarest (100 - THRESHOLD) % + 1 of their shingles
+instead, one of which similar sets must share (a pair meets in the first one it shares; what can follow it in
+the shorter rest bounds the overlap, so sets with many shingles of their own meet nobody). Any pair of similar sets shares a key under every combination
+of these choices, so no list of heavy hitters can lose a pair.
+
+Keys shared by several sets give candidates in two rounds: first every set is paired with the least one of
+its key (a number linear in the keys); the links make components; then, only in keys where components still
+meet, sets are paired across components. Pairs within a component need no proof. As a similar pair agrees
+in 1 + slack segments of its scheme, it shares at least 1 + slack - w keys there, w being the weak segments
+of either set; pairs with fewer are dropped before verification.
 Verification counts the shingles in common; sets with equal content are one class from the start.
 Shingles and sets are told apart by 64-bit fingerprints.
 
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
 from tessera.llm.components import components
-from tessera.llm.shared import buckets, cut, table, text_chunks
+from tessera.llm.shared import buckets, cut, stored, table, text_chunks
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -49,8 +54,15 @@ HEAVY_COUNT = 48
 FILTER_BITS = 1 << 25
 #: Sets that one task verifies against one centre at a time.
 CENTRE_ROWS = 256
-#: Signatures that a task holds before it hands them on.
-FLUSH = 4_000_000
+#: Signatures that a task holds before it hands them on, and that a bucket of the index has on average.
+FLUSH = 500_000
+BUCKET = 2_000_000
+
+#: Classes that a task remembers to skip their copies; those it forgets are merged after the shuffle.
+SEEN = 200_000
+
+#: Weak segments are told apart up to here.
+FEW = 32_767
 
 U = np.uint64
 
@@ -68,7 +80,7 @@ class Bands:
             lo = hi + 1
         self.lo, self.hi = np.array(los, np.int64), np.array(his, np.int64)
         self.h = 2 * self.hi * (100 - threshold) // (100 + threshold)
-        self.slack = 3 + self.h // 16
+        self.slack = 3 + self.h // 6
         self.m = self.h + 1 + self.slack
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -109,19 +121,24 @@ def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
         return low + (high << U(32))
 
 
-def signatures(g: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the rows they index, for rows whose set can be similar to another one."""
+def signatures(g: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands, heavy: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and the rows they index, for rows whose set can be similar to another one, and for each key the row's
+    weak segments in the scheme of its own band and of the next (FEW at most), or FEW + 1 + the place of the
+    shingle where the key is one. A key's lowest bit is its scheme's.
+    heavy: frequent shingles, sorted; often: their counts."""
+    weaks = np.zeros((2, len(size)), np.uint16)
     x = K.mix(g ^ U(0x51ED270B))
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, g), len(heavy) - 1)
         rare = heavy[at] != g
+        count_of = np.where(rare, 0, (np.ones(len(heavy), np.int64) if often is None else often)[at])
     else:
-        rare = np.ones(len(g), bool)
-    keys, owners = [], []
+        rare, count_of = np.ones(len(g), bool), np.zeros(len(g), np.int64)
+    keys, owners, marks = [], [], []
     own = bands.of(np.maximum(size, 1))
-    for up in range(64):
+    for up in range(2):
         scheme = np.minimum(own + up, len(bands.lo) - 1)
-        # own band, and each higher one from which a larger partner may come
+        # own band, and the next one if a larger partner may come from it (BAND is above 100 / THRESHOLD)
         fits = 100 * size >= bands.threshold * bands.lo[scheme] if up else size > 0
         # a smaller set than this is similar only to an equal one
         fits = fits & (100 * size >= bands.threshold * (size + 1))
@@ -137,28 +154,42 @@ def signatures(g: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands, h
         seg = (((K.mix(xs) >> U(32)) * m[r].astype(U)) >> U(32)).astype(np.int64)
         gid = base[r] + seg
         sums = _sums(xs, gid, total)
-        count = np.bincount(gid, minlength=total)
         rares = np.bincount(gid[rs], minlength=total)
         owner = np.repeat(np.arange(len(size)), m)
         number = np.arange(total) - base[owner]
         salt = K.mix((scheme[owner].astype(U) << U(40)) + number.astype(U) + U(1))
         per = lambda flags: np.bincount(owner[flags], minlength=len(size))
         weak, strong = per(rares == 0), per(rares >= 2)
-        few, slack, h = per(count == 0), bands.slack[scheme], bands.h[scheme]
+        slack, h = bands.slack[scheme], bands.h[scheme]
+        weaks[up] = np.minimum(weak, FEW)
         plain = weak <= slack
+        parity = (scheme & 1).astype(U)
         spread = ~plain & (2 * strong + (m - weak - strong) >= h + 1)
         whole = ~plain & ~spread
-        emit = (rares > 0) | whole[owner] & ((count > 0) | (few > slack)[owner])
+        emit = rares > 0
         with np.errstate(over="ignore"):
-            keys.append(K.mix(sums[emit] ^ salt[emit]))
+            keys.append(K.mix(sums[emit] ^ salt[emit]) & ~U(1) | parity[owner[emit]])
             owners.append(owner[emit])
             drop = (~plain[r]) & (rares[gid] >= 2)
             if drop.any():
-                keys.append(K.mix((sums[gid[drop]] - xs[drop]) ^ salt[gid[drop]]))
+                keys.append(K.mix((sums[gid[drop]] - xs[drop]) ^ salt[gid[drop]]) & ~U(1) | parity[r[drop]])
                 owners.append(r[drop])
+            if whole.any():
+                some = np.flatnonzero(whole[r])
+                order = some[np.lexsort((g[use][some], count_of[use][some], r[some]))]
+                place = np.arange(len(order)) - np.searchsorted(r[order], r[order])
+                first = order[place < (size - -(-bands.threshold * size // 100) + 1)[r[order]]]
+                keys.append(K.mix(xs[first] ^ K.mix(scheme[r[first]].astype(U) ^ U(0xA24BAED4963EE407))) & ~U(1) | parity[r[first]])
+                owners.append(r[first])
+                at_place = place[place < (size - -(-bands.threshold * size // 100) + 1)[r[order]]]
+                marks.append((sum(map(len, owners[:-1])), FEW + 1 + np.where(at_place < FEW, at_place, 0)))
     if not keys:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros((2, 0), np.uint16)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    weaks = weaks[:, owners]
+    for begin, values in marks:
+        weaks[:, begin : begin + len(values)] = values
+    return keys, owners, weaks
 
 
 def _base(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -189,7 +220,7 @@ def _base(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if len(held) > 2 * HEAVY:
                     keep = np.sort(np.argpartition(-count, HEAVY)[:HEAVY])
                     held, count = held[keep], count[keep]
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(cls.astype(np.int64)), pa.nulls(b - a, pa.int64())], names=["k", "n", "cls", "c"])
         if arrow is not None:
@@ -200,31 +231,36 @@ def _base(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray) -> DataFrame:
-    """key, cls, n, and centre and centre_n (the least class of the key), for keys of several classes."""
+def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray, often: np.ndarray, n_buckets: int) -> DataFrame:
+    """For keys of several classes: key, cls, n, its band, the key's scheme, and need (the keys that a similar
+    pair shares at least); the key's least class as centre, and whether cls and it can be similar by size (star)
+    and the pair's need."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(heavy)
-    n_buckets = 4 * buckets(spark)
+    shared = spark.sparkContext.broadcast((heavy, often))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n_held = 0
         seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, cls, n = (np.concatenate(x) for x in zip(*held))
+            key, cls, n, w0, w1 = (np.concatenate(x) for x in zip(*held))
             b = (((key >> U(32)) * U(n_buckets)) >> U(32)).astype(np.int64)
             order = np.argsort(b.astype(np.uint16) if n_buckets <= 1 << 16 else b, kind="stable")
-            key, cls, n, b = key[order], cls[order], n[order], b[order]
+            key, cls, n, w0, w1, b = key[order], cls[order], n[order], w0[order], w1[order], b[order]
             low = key.view(np.uint8).reshape(-1, 8)[:, :6]
             edges = np.searchsorted(b, np.arange(n_buckets + 1))
             for i in np.flatnonzero(np.diff(edges)).tolist():
                 s = slice(edges[i], edges[i + 1])
                 c = cls[s]
-                turn = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                turn = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w0[s][1:] != w0[s][:-1]) | (w1[s][1:] != w1[s][:-1])]))
+                times = np.diff(np.append(turn, len(c)))
+                if times.max() > 255:  # a run's length is one byte
+                    turn = np.unique(np.concatenate([turn, *(np.arange(t, t + k, 255) for t, k in zip(turn[times > 255], times[times > 255]))]))
+                    times = np.diff(np.append(turn, len(c)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i]), pa.array([c[turn].tobytes()], pa.binary()), pa.array([n[s][turn].astype(np.uint32).tobytes()], pa.binary()), pa.array([np.diff(np.append(turn, len(c))).astype(np.uint32).tobytes()], pa.binary()), pa.array([low[s].tobytes()], pa.binary())],
-                    names=["b", "cls", "n", "times", "keys"],
+                    [pa.array([i]), pa.array([c[turn].tobytes()], pa.binary()), pa.array([n[s][turn].astype(np.uint32).tobytes()], pa.binary()), pa.array([w0[s][turn].tobytes()], pa.binary()), pa.array([w1[s][turn].tobytes()], pa.binary()), pa.array([times.astype(np.uint8).tobytes()], pa.binary()), pa.array([low[s].tobytes()], pa.binary())],
+                    names=["b", "cls", "n", "w0", "w1", "times", "keys"],
                 )
 
         for batch in batches:
@@ -236,13 +272,13 @@ def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray) -> Dat
                     if c not in seen:
                         seen.add(c)
                         new[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 keep = new[row]
-                key, owner = signatures(g[keep], row[keep], np.where(new, size, 0), bands, shared.value)
+                key, owner, weak = signatures(g[keep], row[keep], np.where(new, size, 0), bands, *shared.value)
                 order = np.argsort(owner, kind="stable")
-                key, owner = key[order], owner[order]
-                held.append((key, cls[owner], size[owner]))
+                key, owner, weak = key[order], owner[order], weak[:, order]
+                held.append((key, cls[owner], size[owner], weak[0], weak[1]))
                 n_held += len(key)
                 if n_held >= FLUSH:
                     yield from flush()
@@ -253,31 +289,41 @@ def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray) -> Dat
 
     def meet(t: pa.Table) -> pa.Table:
         join = lambda c, d: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), d)
-        times = join("times", np.uint32)
-        cls, n = np.repeat(join("cls", U), times), np.repeat(join("n", np.uint32), times)
+        times = join("times", np.uint8)
         raw = join("keys", np.uint8).reshape(-1, 6)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :6] = raw
         key = key.view(U).ravel()
-        some = K.repeated(key)
-        key, cls, n = key[some], cls[some].view(np.int64), n[some].astype(np.int64)
+        some = np.flatnonzero(K.repeated(key))
+        run = np.repeat(np.arange(len(times)), times)[some]
+        key, cls = key[some], join("cls", U)[run].view(np.int64)
         order = np.lexsort((cls, key))
-        key, cls, n = key[order], cls[order], n[order]
+        key, cls, run = key[order], cls[order], run[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n = key[fresh], cls[fresh], n[fresh]
-        if not len(key):
-            first = length = np.zeros(0, np.int64)
-        else:
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            length = np.diff(np.append(first, len(key)))
-        begin, several = np.repeat(first, length), np.repeat(length, length) > 1
-        # within a bucket 48 bits of a key are enough; the bucket's number tells the buckets apart
-        number = (t.column("b")[0].as_py() << 48) if len(t) else 0
-        return pa.table({"key": (key[several] + U(number % (1 << 63))).view(np.int64), "cls": cls[several], "n": n[several], "centre": cls[begin][several], "centre_n": n[begin][several]})
-
-    indexed = docs.select(F.col(text).alias("t")).mapInArrow(index, "b long, cls binary, n binary, times binary, keys binary")
-    return indexed.groupBy("b").applyInArrow(meet, "key long, cls long, n long, centre long, centre_n long")
+        key, cls, run = key[fresh], cls[fresh], run[fresh]
+        n = join("n", np.uint32)[run].astype(np.int64)
+        band = bands.of(n)
+        other = ((key ^ band.astype(U)) & U(1)).astype(bool)
+        scheme = band + other
+        w = np.where(other, join("w1", np.uint16)[run], join("w0", np.uint16)[run]).astype(np.int64)
+        need = np.where(w >= FEW, 1, np.maximum(1, 1 + bands.slack[scheme] - w))
+        rest = n - np.maximum(w - FEW - 1, 0)  # shingles from the key's own on
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        length = np.diff(np.append(first, len(key)))
+        begin, length = np.repeat(first, length), np.repeat(length, length)
+        star = (100 * np.minimum(n, n[begin]) >= bands.threshold * np.maximum(n, n[begin])) & (scheme == np.maximum(band, band[begin]))
+        # of a key of two, both go if they can't be similar by size or meet in another scheme
+        keep = (length > 2) | (length == 2) & np.where(begin == np.arange(len(key)), np.append(star[1:], False), star)
+        number = (t.column("b")[0].as_py() << 48) if len(t) else 0  # tells the buckets apart
+        at = np.flatnonzero(keep)
+        return pa.table({
+            "key": (key[at] + U(number % (1 << 63))).view(np.int64), "cls": cls[at], "n": n[at], "band": band[at], "scheme": scheme[at], "need": need[at], "rest": rest[at],
+            "centre": cls[begin[at]], "star": star[at] & (begin[at] != at), "star_need": np.maximum(need, need[begin])[at],
+        })
+
+    indexed = docs.select(F.col(text).alias("t")).mapInArrow(index, "b long, cls binary, n binary, w0 binary, w1 binary, times binary, keys binary")
+    return indexed.groupBy("b").applyInArrow(meet, "key long, cls long, n long, band long, scheme long, need long, rest long, centre long, star boolean, star_need long")
 
 
 def _filter(needed: DataFrame) -> np.ndarray:
@@ -329,7 +375,7 @@ def _sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
                         seen.add(c)
                         ids.append(c)
                         sets.append(g[edges[i] : edges[i + 1]].tobytes())
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, U).view(np.int64)), pa.array(sets, pa.binary())], names=["cls", "s"])
@@ -372,26 +418,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (the least key that links reach)."""
     bands = Bands(threshold)
-    # sets that a band's length bound rules out are never verified
-    near = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {threshold} * greatest({a}, {b})")
     marked = cut(_base(docs, key, text))
     base = marked.where("n >= 0")
     heavy = marked.where("n = -1").groupBy("cls").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_COUNT)
-    heavy = np.sort(np.array([r.cls for r in heavy.orderBy(F.desc("c"), "cls").limit(HEAVY).toLocalIterator()], np.int64).view(U))
-    members = cut(_members(docs, text, bands, heavy))
-
-    stars = cut(members.where(F.col("cls") != F.col("centre")).where(near("n", "centre_n")).select("centre", "cls").distinct())
+    top = sorted((r.cls % (1 << 64), r.c) for r in heavy.orderBy(F.desc("c"), "cls").limit(HEAVY).toLocalIterator())
+    heavy, often = np.array([t[0] for t in top], U), np.array([t[1] for t in top], np.int64)
+    # about half as many signatures as shingles
+    shingles = base.agg(F.sum("n")).first()[0] or 0
+    members = stored(_members(docs, text, bands, heavy, often, 1 + int(shingles // (2 * BUCKET))), "members")
     needed = lambda p: p.select("cls").unionByName(p.select(F.col("centre").alias("cls"))).distinct()
-    links = cut(_verified(stars, _sets(docs, text, needed(stars)), threshold))
+    enough = lambda p: p.groupBy("centre", "cls").agg(F.count("*").alias("k"), F.max("pair_need").alias("pair_need")).where("k >= pair_need").select("centre", "cls")
+
+    similar_size = f"x.scheme = greatest(x.band, y.band) and 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) and {100 + threshold} * least(x.rest, y.rest) >= {threshold} * (x.n + y.n) and x.root <> y.root"
+    as_pair = (F.col("y.cls").alias("centre"), F.col("x.cls").alias("cls"), F.greatest("x.need", "y.need").alias("pair_need"))
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        """Keys in which components still meet, with their sets: key, x."""
+        placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "band", "scheme", "need", "rest", F.coalesce("root", "cls").alias("root"))
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return placed.join(several, "key").select("key", F.struct("cls", "n", "band", "scheme", "need", "rest", "root").alias("x"))
+
+    done = cut(enough(members.where("star").withColumnRenamed("star_need", "pair_need")))
+    links = cut(_verified(done, _sets(docs, text, needed(done)), threshold))
     roots = cut(components(links))
 
-    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(placed.join(mixed, "key"))
-    other = open_.select("key", F.col("cls").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root"))
-    across = open_.join(other, (open_["key"] == other["key"]) & (open_["cls"] > other["centre"]) & (open_["root"] != other["centre_root"]) & near("n", "centre_n"))
-    across = across.select("centre", "cls").distinct().join(stars, ["centre", "cls"], "left_anti")
-    across = cut(across)
+    open_ = cut(mixed(roots))
+
+    # what is left: every pair across components
+    other = open_.select("key", F.col("x").alias("y"))
+    across = enough(open_.join(other, "key").where("x.cls > y.cls").where(similar_size).select(*as_pair))
+    across = cut(across.join(done, ["centre", "cls"], "left_anti"))
     more = cut(_verified(across, _sets(docs, text, needed(across)), threshold)) if across.limit(1).count() else None
     if more is not None and more.limit(1).count():
         at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))

@@ -4,12 +4,11 @@ Two variable-order Markov models are counted from all URLs: one of those that a
 has a seed term (rejected), one of all others (accepted; what no rule knows counts as accepted until it
 looks like the rejected ones). Each order is smoothed with the next shorter one (Dirichlet prior). A
 URL's score is the mean over its characters of log p_accepted - log p_rejected, each character read at
-the longest context that the models know. A cut between the two classes is calibrated on the fifth
-of the URLs that the models were not counted from.
+the longest context that the models know. A cut between the two classes is calibrated on a fifth of the
+URLs with models counted from the others; the models that score are then counted from all URLs.
 
-The models are scored from one hash table of fixed size (2^SLOT_BITS slots of an 8-byte fingerprint
-and an 8-byte value, 2 MB): where two grams want one slot the more frequent stays and the other is read
-at its shorter context. That bound holds at every input size, so broadcasting the table is safe.
+No gram is left out: scoring joins the distinct lines' characters to the whole table of grams, which grows
+with the input. Only grams that make up a thousandth of all characters (a thousand at most) are broadcast.
 
 Nulls and edge cases: a null url or one without :// has an empty host and path, no rule and no
 characters; its score is 0 and, as nothing speaks against it, its verdict allow. Ties at the cut are
@@ -30,7 +29,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 SEED_TERMS = ("casino", "adult", "xxx", "porn", "bets", "betting", "poker", "spam", "viagra", "warez")
 ORDER = 5
 PRIOR = 2.0
-SLOT_BITS = 17
+HOT = 1000
 BINS = 400
 SPAN = 4.0
 #: Rules are compiled into the plan; longer lists belong in a table joined on host suffixes.
@@ -105,26 +104,42 @@ def log_ratios(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> D
     return out.select("n", "gram", "total", (F.log("pa") - F.log("pr")).alias("ratio"))
 
 
-def slot_table(ratios: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
-    """One row: arrays of fingerprints and values by slot. Its size depends on bits only."""
-    size = 1 << bits
-    marked = ratios.withColumn("mark", F.xxhash64("gram")).withColumn("slot", F.pmod("mark", F.lit(size)))
-    # shorter and more frequent grams keep their slot
-    best = marked.groupBy("slot").agg(F.max_by(F.struct("mark", "ratio"), F.struct("total", -F.col("n"), "mark")).alias("x"))
-    filled = ratios.sparkSession.range(size).withColumnRenamed("id", "slot").join(best, "slot", "left")
-    # a bounded list: 2^bits entries, in the order of the slots
-    one = filled.agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("x.mark", F.lit(0)).alias("mark"), F.coalesce("x.ratio", F.lit(0.0)).alias("ratio")))).alias("t"))
-    return one.select(F.col("t.mark").alias("marks"), F.col("t.ratio").alias("values"))
+def slot_table(ratios: DataFrame) -> DataFrame:
+    """gram and ratio of every gram: a table that grows with the models."""
+    return ratios.select("gram", "ratio")
 
 
-def scored(d: DataFrame, slots: DataFrame, order: int = ORDER, bits: int = SLOT_BITS) -> DataFrame:
-    """d with `score`. Map-only; the table of slots is broadcast."""
-    size = 1 << bits
-    gram = lambda n: f"case when i >= {n} then xxhash64(substring(line, i - {n} + 1, {n})) end"
-    found = lambda n: f"transform(array({gram(n)}), h -> case when marks[pmod(h, {size})] = h then values[pmod(h, {size})] end)[0]"
-    value = "coalesce(" + ", ".join(found(n) for n in range(order, 0, -1)) + ", 0D)"
-    score = F.expr(f"case when length(line) > 1 then aggregate(sequence(2, length(line)), 0D, (acc, i) -> acc + {value}) / (length(line) - 1) else 0D end")
-    return d.crossJoin(F.broadcast(slots)).withColumn("score", score).drop("marks", "values")
+def models(decided: DataFrame) -> DataFrame:
+    """The table of grams counted from decided lines."""
+    return cut(slot_table(log_ratios(count_grams(decided))))
+
+
+def gram_values(wanted: DataFrame, grams: DataFrame) -> DataFrame:
+    """wanted (distinct grams, other columns stay) with the ratio of the longest known end of each, 0 where none is known."""
+    known = cut(wanted.join(grams, "gram", "left"))
+    missed = known.where(F.col("ratio").isNull()).drop("ratio")
+    ends = missed.where(F.length("gram") > 1).select(F.col("gram").alias("__whole"), F.explode(F.expr("sequence(1, length(gram) - 1)")).alias("n"))
+    ends = ends.withColumn("gram", F.expr("substring(__whole, length(__whole) - n + 1, n)"))
+    shorter = ends.join(grams, "gram").groupBy(F.col("__whole").alias("gram")).agg(F.max_by("ratio", "n").alias("ratio"))
+    return known.where(F.col("ratio").isNotNull()).unionByName(missed.join(shorter, "gram", "left").fillna(0.0, ["ratio"]))
+
+
+def scored(d: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """d with `score`: each distinct line's characters are joined to the whole table of grams."""
+    readable = F.coalesce(F.length("line") > 1, F.lit(False))
+    lines = cut(d.where(readable).select("line").distinct().withColumn("__line", F.monotonically_increasing_id()))
+    at = lines.select("__line", "line", F.explode(F.expr("sequence(2, length(line))")).alias("i"))
+    at = at.select("__line", "i", F.expr(f"substring(line, greatest(i - {order}, 0) + 1, least(i, {order}))").alias("gram"))
+    values = cut(gram_values(at.groupBy("gram").agg(F.count("*").alias("c")), grams))
+    # grams of one position in HOT or more: HOT at most, so these may be broadcast; they would be hot keys of the other join
+    least = (values.agg(F.sum("c").alias("c")).first().c or 0) / HOT
+    often = F.broadcast(values.where(F.col("c") >= least).select("gram", "ratio"))
+    seldom = values.where(F.col("c") < least).select("gram", "ratio")
+    read = at.join(often, "gram").unionByName(at.join(often, "gram", "left_anti").join(seldom, "gram"))
+    # a line's own characters, in their order, so that the sum is the same in every run
+    sums = read.groupBy("__line").agg(F.array_sort(F.collect_list(F.struct("i", "ratio"))).alias("x"))
+    scores = lines.join(sums.select("__line", F.expr("aggregate(x, 0D, (acc, y) -> acc + y.ratio) / size(x)").alias("score")), "__line").drop("__line")
+    return d.where(readable).join(scores, "line").select(*d.columns, "score").unionByName(d.where(~readable).withColumn("score", F.lit(0.0)))
 
 
 def calibrate(held: DataFrame) -> DataFrame:
@@ -150,9 +165,8 @@ def filter_urls(pages: DataFrame, rules=RULES, seed_terms=SEED_TERMS) -> DataFra
     d = judged(pages, rules, seed_terms)
     decided = d.where(F.col("decided").isNotNull() & (F.length("line") > 1)).select("line", "decided")
     held_out = crc_mod(F.col("line"), 5) == 0
-    slots = cut(slot_table(log_ratios(count_grams(decided.where(~held_out)))))
-    limit = calibrate(scored(decided.where(held_out), slots))
-    out = scored(d, slots).crossJoin(F.broadcast(limit))
+    limit = cut(calibrate(scored(decided.where(held_out), models(decided.where(~held_out)))))
+    out = scored(d, models(decided)).crossJoin(F.broadcast(limit))
     verdict = F.coalesce(F.col("hit.verdict"), F.when((F.length("line") < 2) | (F.col("score") >= F.col("cut")), "allow").otherwise("block"))
     return out.withColumn("rule", F.col("hit.rule")).withColumn("verdict", verdict).drop("hit", "line", "decided")
 

@@ -426,6 +426,34 @@ def test_url_scores_equal_plain_models(spark):
         assert abs(total / (len(r.line) - 1) - r.score) < 1e-9
 
 
+def test_url_models_keep_every_gram(spark):
+    """More grams than any fixed table of 2^17 holds; each is read at its longest context, and all lines count in the end."""
+    rng = random.Random(4)
+    lines = ["^" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) + "$" for _ in range(4000)]
+    df = spark.createDataFrame([(x, int(k % 4 > 0)) for k, x in enumerate(lines)], "line string, decided int")
+    ratios = url_filter.log_ratios(url_filter.count_grams(df)).cache()
+    known = {r.gram: r.ratio for r in ratios.collect()}
+    assert len(known) > 1 << 17
+    unseen = ["^" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(20)) + "$" for _ in range(50)]
+    probe = spark.createDataFrame([(x,) for x in lines[:200] + unseen + ["", None]], "line string")
+    for r in url_filter.scored(probe, url_filter.slot_table(ratios)).collect():
+        n = len(r.line or "")
+        want = sum(next((known[g] for k in range(5, 0, -1) if k <= i and (g := r.line[i - k : i]) in known), 0.0) for i in range(2, n + 1)) / max(n - 1, 1)
+        assert abs(want - r.score) < 1e-9, r.line
+    ratios.unpersist()
+
+
+def test_url_scores_come_from_all_lines(spark):
+    urls = [f"http://h{chr(97 + i % 26)}{chr(97 + i // 26)}.net/{'win' if i % 3 else 'casino'}/{i}" for i in range(90)] + [f"http://casino-{i}.net/x" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    d = url_filter.judged(pages)
+    known = {r.gram: r.ratio for r in url_filter.log_ratios(url_filter.count_grams(d.select("line", "decided"))).collect()}
+    lines = {r.page_id: r.line for r in d.collect()}
+    for r in url_filter.filter_urls(pages).collect():
+        x = lines[r.page_id]
+        assert abs(sum(known[x[max(i - 5, 0) : i]] for i in range(2, len(x) + 1)) / (len(x) - 1) - r.score) < 1e-9
+
+
 # --- html --------------------------------------------------------------------------------------------
 def cut_value(weight, edges, side):
     return sum(w for w, s in zip(weight, side) if w > 0 and not s) + sum(-w for w, s in zip(weight, side) if w < 0 and s) + sum(c for a, b, c in edges if side[a] != side[b])

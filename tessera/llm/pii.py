@@ -3,10 +3,11 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. For the rest, the corpus
 tells how strongly a term reveals such an entity: over all documents, PMI(entity; term) is set against the
 entity's information content IC(entity) = -log2 p(entity); their ratio is the share of the entity that the
-term discloses (1: whoever sees the term knows the entity). Terms are words that stand within WINDOW code
-points of an entity; the evidence must come from two different contexts, so that copies of one text prove
-nothing. A term that discloses REMOVE or more is removed from the documents that hold the entity, one that
-discloses GENERALISE or more is replaced by its class.
+term discloses (1: whoever sees the term knows the entity). Terms are the words of a document that holds
+the entity, at any distance from it, so that co-occurrence and the term's own count are of whole documents;
+the evidence must come from two different contexts (WINDOW code points on both sides of the entity), so that
+copies of one text prove nothing. A term that discloses REMOVE or more is removed from the documents that
+hold the entity, one that discloses GENERALISE or more is replaced by its class.
 
 Java's regular expressions run here, so patterns are written without anything that backtracks over a long
 run or recurses: each is the equal of its plain form, quoted beside it.
@@ -90,15 +91,26 @@ def disclosing(docs: DataFrame, held: DataFrame, text: str = "text", window: int
     before = F.when(F.col("x.s") > window, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
     after = F.when(F.length("t") > F.col("x.e") + window, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     context = F.lower(F.concat(before, F.lit(" | "), after))
-    seen = occurrence.select("__row", F.xxhash64("x.k", F.lower("x.v")).alias("e"), context.alias("c"))
-    seen = seen.select("__row", "e", F.xxhash64("c").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("c", F.lit(WORD), F.lit(0)))).alias("t"))
+    seen = occurrence.select("__row", F.xxhash64("x.k", F.lower("x.v")).alias("e"), context.alias("c")).withColumn("h", F.xxhash64("c"))
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(WORD), F.lit(0))))
+    near = seen.select("__row", "e", words(F.col("c")).alias("t"), "h").groupBy("__row", "e", "t").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # an entity's contexts in a document as one: they stand for the terms of the document that are in none of them
+    per = cut(seen.groupBy("__row", "e").agg(F.xxhash64(F.array_sort(F.collect_set("h"))).alias("h")))
+    with_e = cut(per.groupBy("e").agg(F.count("*").alias("n_e")))
+    with_t = cut(docs.select(words(F.lower(t)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")))
+    n = docs.count()
+    # both <= n_e, so share >= generalise needs n_t <= n^(1 - generalise) * n_e^generalise; and a document by itself
+    # is one context, so a term away from the entity needs two. What is left out here can't disclose anything.
+    most = F.pow(F.lit(float(n)), F.lit(1 - generalise)) * F.pow("n_e", F.lit(generalise)) * (1 + 1e-9)
+    shared = per.join(with_e.where("n_e > 1"), "e").withColumn("most", most)
+    rare = with_t.where(F.col("n_t") > 1).join(F.broadcast(shared.agg(F.max("most").alias("top"))), F.col("n_t") <= F.col("top")).select("t", "n_t")
+    own = held.select("__row", words(F.lower(t)).alias("t")).join(rare, "t")
+    whole = shared.join(own, "__row").where(F.col("n_t") <= F.col("most")).select("__row", "e", "t", "h")
     # one row for each document, entity, term
-    pairs = cut(seen.groupBy("__row", "e", "t").agg(F.min("h").alias("lo"), F.max("h").alias("hi")))
+    union = near.withColumn("h", F.lit(None).cast("long")).unionByName(whole.withColumn("lo", F.lit(None).cast("long")).withColumn("hi", F.lit(None).cast("long")))
+    pairs = union.groupBy("__row", "e", "t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("h").alias("h"))
+    pairs = cut(pairs.select("__row", "e", "t", F.coalesce("lo", "h").alias("lo"), F.coalesce("hi", "h").alias("hi")))
     both = pairs.groupBy("e", "t").agg(F.count("*").alias("both"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("e", "t", "both")
-    with_e = occurrence.select("__row", F.xxhash64("x.k", F.lower("x.v")).alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)))).alias("t"))
-    with_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
-    n = docs.count()
     pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t").cast("double")))
     content = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     strong = both.join(with_e, "e").join(with_t, "t").withColumn("share", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("share") >= generalise)
@@ -108,7 +120,7 @@ def disclosing(docs: DataFrame, held: DataFrame, text: str = "text", window: int
 def with_terms(docs: DataFrame, held: DataFrame, text: str = "text", remove: float = REMOVE) -> DataFrame:
     """held with __all: base spans and the spans of disclosing terms (value v: remove or generalise)."""
     terms = disclosing(docs, held, text).groupBy("__row").agg(
-        # the words of a document's own windows: bounded by the document
+        # the words of a document: bounded by it
         F.array_join(F.array_sort(F.collect_set("t")), "|").alias("__terms"),
         F.map_from_entries(F.collect_list(F.struct("t", F.when(F.col("share") >= remove, "remove").otherwise("generalise")))).alias("__acts"),
     )

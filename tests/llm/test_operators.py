@@ -267,6 +267,21 @@ def test_disclosing_terms_go(spark):
     assert pii.digests(table(spark, [])).count() == 0
 
 
+def test_disclosing_terms_at_any_distance(spark):
+    rng = random.Random(3)
+    filler = [(i, prose(rng, 40)) for i in range(60)]
+    far = " ".join(f"w{k % 60}" for k in range(200))
+    told = [(100, f"zebulon {far} we met at x.y@z.com today"), (101, f"later x.y@z.com wrote again {far} signed Zebulon"), (102, f"from quillon {far} call +49 30 1234567 8 now"), (103, "the number +49 30 1234567 8 is of quillon")]
+    # two mentions in one document are one document's evidence
+    told += [(104, f"a solitary {far} note to p.q@r.com then {far} more for p.q@r.com")]
+    out = {r.doc_id: r.text for r in pii.sanitise(table(spark, filler + told)).collect()}
+    assert all("zebulon" not in out[i].lower() for i in (100, 101)) and all("quillon" not in out[i] for i in (102, 103))
+    assert "solitary" in out[104] and all(out[i] == t for i, t in filler)
+    # copies of one text are no evidence, however far the term
+    copies = table(spark, filler + [(200 + i, f"only zebulon {far} at x.y@z.com") for i in range(5)])
+    assert all("zebulon" in r.text for r in pii.sanitise(copies).where("doc_id >= 200").collect())
+
+
 # --- tokens ----------------------------------------------------------------------------------------
 def test_bpe_against_the_library(spark):
     from tokenizers import Tokenizer

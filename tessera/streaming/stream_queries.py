@@ -99,3 +99,14 @@ def stream_stateful_cooldown(spark, sf_dir):
     out = keyed.groupBy("file_path").transformWithStateInPandas(S.Cooldown(1e9), "file_path string, at double", "Append", "None")
     S.drain(out, f"{at}/cp", f"{at}/out")
     return spark.read.parquet(f"{at}/out").withColumnRenamed("at", "sec")
+
+
+@query("stream_cooldown_all_files")
+def stream_cooldown_all_files(spark, sf_dir):
+    """Dispatches of every file with the production cooldown: a file passes again once COOLDOWN seconds are over."""
+    at, e = staged(spark, sf_dir, "cooldown_all")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = e.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("file_path"), F.floor(F.unix_micros("event_time") / 1e6).cast("double").alias("at"))
+    out = keyed.groupBy("file_path").transformWithStateInPandas(S.Cooldown(), "file_path string, at double", "Append", "None")
+    S.drain(out, f"{at}/cp", f"{at}/out")
+    return spark.read.parquet(f"{at}/out").withColumnRenamed("at", "sec")

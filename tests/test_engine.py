@@ -140,6 +140,29 @@ def test_cooldown_and_rate_limit():
     assert len(sent) == 40 and all(sum(a <= b < a + 60 for b in sent) <= 5 for a in sent)
 
 
+def test_cooldown_of_all_files(spark, tmp_path):
+    """Every file passes, and passes again after a minute."""
+    from tessera import registry
+
+    rng = random.Random(5)
+    events = [(k % 60 + 997 * (k // 60), datetime(2024, 1, 1, 0, rng.randrange(20), rng.randrange(60)), k % 7, "view", 1.0, "{}") for k in range(600)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    from tessera.plans.base import access_events
+
+    by: dict[str, list[float]] = {}
+    for r in access_events(spark, str(tmp_path)).selectExpr("doc_id", "cast(floor(unix_micros(event_time) / 1e6) as double) s").collect():
+        by.setdefault(str(r.doc_id), []).append(r.s)
+    want = []
+    for f, times in by.items():
+        last = None
+        for s in sorted(times):
+            if last is None or s - last >= 60:
+                last = s
+                want.append((f, s))
+    got = [(r.file_path, r.sec) for r in registry.queries()["stream_cooldown_all_files"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > len(by) > 20
+
+
 def test_text_extraction_never_fails():
     assert lake.extract_text("a.docx", b"not a zip")[1] and lake.extract_text("a.html", b"<p>x<script>y</script>")[0] == "x"
     assert lake.extract_text("a.pdf", b"%PDF")[1] and lake.extract_text("a", None)[1]

@@ -132,6 +132,15 @@ def test_journal_survives_a_torn_tail():
     assert len(list(rows.usn_rows(raw[:-3]))) == 1 and next(rows.usn_rows(raw))[3] == t
 
 
+@pytest.mark.parametrize("family,text", [("PATTERNS", "Jane Smith, DDS"), ("PATTERNS", "at Mercy Health System"), ("PATTERNS", "blood type O+"), ("PATTERNS", "pwd=hunterxx"), ("FINANCIAL", "SWIFT DEUTDEFF"), ("SECRETS", 'token: "abcdefghijklmnop"')])
+def test_spans_do_not_hang_on_unrelated_text(family, text):
+    """A digit, sign or word elsewhere in the text doesn't decide whether a span is found."""
+    family = getattr(patterns, family)
+    more = text + " . \n\n 7 @ : phrase _ - = ."
+    kept = [(x.start, x.end, x.entity_type) for x in D.family_spans(family, text)]
+    assert kept and set(kept) <= {(x.start, x.end, x.entity_type) for x in D.family_spans(family, more)}
+
+
 def test_cooldown_and_rate_limit():
     assert streams.cooled([("f", 0.0), ("f", 59.0), ("f", 61.0), ("f", 120.0)]) == [True, False, True, False]
     rng = random.Random(1)

@@ -12,7 +12,8 @@ bound at every benchmark size; each block is one pass over the documents, and th
 joined. Documents are never shuffled for a single block.
 
 Nulls and edge cases: null or wordless documents have no words and no hits; null or wordless items have
-no windows; items with equal texts or ids each count by their distinct id; repeated document rows are
+no windows; items with equal texts or ids each count by their distinct id, one with a null id counts in n_hit
+and contaminated only, not in n_items and the digest; repeated document rows are
 judged one by one (with several blocks they are told apart by a row id); extra columns change nothing;
 an empty table gives an empty result.
 """
@@ -48,13 +49,13 @@ def hashed_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Block:
     """The windows of some items: their words, and for each shingle length the shingles."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.ids: list[str] = []
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.ids: list[str | None] = []
         seen: dict[tuple[bytes, ...], int] = {}
         self.windows: list[tuple[bytes, ...]] = []
         self.items: list[set[int]] = []
         texts = pa.array([t for _, t in items], pa.large_string())
-        number: dict[str, int] = {}
+        number: dict[str | None, int] = {}
         for a, _, buf, offsets in text_chunks(texts):
             buf, starts, ends, rows, _ = hashed_words(buf, offsets)
             raw = buf.tobytes()
@@ -152,10 +153,10 @@ def found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return is_in, at[is_in]
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, words: int, window: int) -> Iterator[list[tuple[str, str]]]:
+def blocks(benchmark: DataFrame, item: str, text: str, words: int, window: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks; a block ends when it has `words` words (an item's text is never cut)."""
     held, n = [], 0
-    for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null and i is not null").toLocalIterator():
+    for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         held.append((r.i, r.t))
         n += len(r.t) // 4 + 1
         if n >= words:
@@ -222,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: Iterable[str] = ("doc_i
                     n_hit = np.zeros(n, np.int64)
                     for r in np.unique(row).tolist():
                         s = slice(edges[r], edges[r + 1])
-                        got = sorted({block.ids[i] for w in set(win[s].tolist()) for i in block.items[w]})
+                        got = sorted({x for w in set(win[s].tolist()) for i in block.items[w] if (x := block.ids[i]) is not None})
                         items[r] = got
                         begin, end = word[s], word[s] + block.sizes[win[s]]
                         if final:
@@ -256,7 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: Iterable[str] = ("doc_i
     rowed = rowed.withColumnRenamed("__t", text) if text not in keep else rowed.drop("__t")
     parts = None
     for items in _chain(first, second, stream):
-        got = cut(one(rowed, ["__row"], ready(items), False).where(F.size("items") > 0))
+        got = cut(one(rowed, ["__row"], ready(items), False).where(F.size("spans") > 0))
         parts = got if parts is None else parts.unionByName(got)
     hit = parts.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.udf(lambda s: _merged(np.array(s[::2]), np.array(s[1::2])), "long")

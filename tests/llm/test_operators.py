@@ -216,6 +216,16 @@ def test_decontamination_edges(spark):
     assert decontaminate.matches(table(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 1])
+def test_decontamination_by_items_without_id(spark, block):
+    """Passages of items without an id are hits and contaminate; they are no item by name."""
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta eps"), (1, "zeta eta"), (2, "theta iota")], "item_id long, text string")
+    docs = table(spark, [(1, "alpha beta gamma"), (2, "alpha beta gamma zeta eta"), (3, "clean words"), (4, None)])
+    none, one = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
+    got = sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.matches(docs, bench, block_words=block).collect())
+    assert got == [(1, 3, 0, none, True), (2, 5, 1, one, True), (3, 0, 0, none, False), (4, 0, 0, none, False)]
+
+
 # --- personal data -----------------------------------------------------------------------------------
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The largest primes below 2^31, and a base for each.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1318699873, 902364119)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _tables: dict[str, np.ndarray] = {}
 
@@ -25,13 +26,17 @@ LEADS[128:192] = False
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base & ((1 << 64) - 1), dtype=U)
-                steps[0] = 1
-                _tables[name] = np.multiply.accumulate(steps)
+    """Powers of the bases and of their inverses by modulus: two arrays of one row for each of _PRIMES."""
+    if "up" not in _tables or _tables["up"].shape[1] < n:
+        size = max(n, (1 << 18) + 1)
+        for name, bases in (("up", _BASES), ("down", [pow(b, -1, p) for b, p in zip(_BASES, _PRIMES)])):
+            out = np.ones((2, size), U)
+            for row, base, p in zip(out, bases, _PRIMES):
+                k = 1
+                while k < size:
+                    row[k : 2 * k] = row[: min(k, size - k)] * U(pow(base, k, p)) % U(p)
+                    k *= 2
+            _tables[name] = out
     return _tables["up"], _tables["down"]
 
 
@@ -51,20 +56,27 @@ def spread(n: int) -> np.ndarray:
 
 
 def rolling(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash takes the hash of any span."""
+    """Prefix sums, by modulus, from which span_hash takes the hash of any span."""
     up, _ = _powers(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, dtype=U)
-    with np.errstate(over="ignore"):
-        np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=out[1:])
+    out = np.zeros((2, len(buf) + 1), U)
+    values = buf.astype(U) + U(1)
+    for row, powers, p in zip(out, up, _PRIMES):
+        terms = values * powers[: len(buf)]  # below 2^40
+        if len(buf) > 1 << 23:  # the sums would pass 2^64
+            terms %= U(p)
+        np.cumsum(terms, out=row[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, wherever it stands."""
-    _, down = _powers(len(sums))
+    """A 64-bit hash of each span's bytes, wherever it stands.
+
+    Two polynomials, each modulo a prime: modulo a power of two, structured texts would collide under any base.
+    """
+    _, down = _powers(sums.shape[1])
+    h = [(row[ends] - row[starts]) % U(p) * powers[starts] % U(p) for row, powers, p in zip(sums, down, _PRIMES)]
     with np.errstate(over="ignore"):
-        h = (sums[ends] - sums[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+        return mix((h[0] | h[1] << U(31)) + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

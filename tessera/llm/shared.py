@@ -13,22 +13,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as vectors at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Rows of one key from which on it may be hot.
+HOT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from reliable storage: the lineage ends at files that every executor can read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data, set as the checkpoint folder too: the one that the session names.
+    Only a session without executors of its own may fall back to a folder of the machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from reliable storage: the lineage ends at files that every executor can read again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """key, __salts of the keys with more than a thousandth of all rows (HOT_ROWS at least), so a thousand rows at
+    most, from one row per key with its count n. A key's rows are to be dealt over so many salts."""
+    floor = max(HOT_ROWS, total // 1000)
+    return counted.where(F.col(n) > floor).select(key, F.ceil(F.col(n) / floor).cast("int").alias("__salts"))
+
+
+def salted_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """big with the columns of one (a row per key), where the rows of a hot key are dealt by `by` over several
+    tasks. hot is the table of hot_keys, small enough to be sent to all tasks whatever the size of big."""
+    hot = F.broadcast(hot)
+    dealt = big.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    copies = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,10 +90,6 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, budget: int = CHUNK_BYTES) -
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet beside the checkpoints, and read again."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, components, decontaminate, html_extraction, language_id, ngram_jaccard, pii, quality_classifier, quality_rules, sharding, url_filter
+from tessera.llm import bpe, components, decontaminate, html_extraction, language_id, ngram_jaccard, pii, quality_classifier, quality_rules, sharding, shared, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -130,6 +130,48 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(texts)
 
 
+@pytest.mark.parametrize("change", [{"bits": 6}, {"FLUSH": 300, "BUCKET": 40, "FAN": 8}, {"TILE_ROWS": 4, "TILE_SHINGLES": 900, "HEAVY_COUNT": 5}])
+def test_near_duplicates_by_other_parameters(spark, monkeypatch, change):
+    """Colliding fingerprints, two levels of buckets, and many small tiles change nothing."""
+    for name, value in change.items():
+        if name != "bits":
+            monkeypatch.setattr(ngram_jaccard, name, value)
+    if "FLUSH" in change:
+        monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    texts = near_cases()
+    got = ngram_jaccard.similar(table(spark, texts), bits=change.get("bits", 64)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(texts)
+
+
+def test_structured_words_are_told_apart(spark):
+    """A Thue-Morse word and its complement collide under any polynomial modulo a power of two."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = ngram_jaccard.similar(table(spark, [(1, a), (2, b), (3, a)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+    assert {r.n_dup_lines for r in quality_rules.ledger(table(spark, [(1, f"{a}\n{b}")])).collect()} == {0}
+
+
+def test_tile_links():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([rng.choice(2000, 8), np.arange(60)]).astype(np.uint64)) for _ in range(30)] + [np.arange(k, k + 50, dtype=np.uint64) for k in range(0, 60, 4)]
+    root = np.arange(len(sets))
+    root[:4] = 3
+    up = list(range(len(sets)))
+    top = lambda i: i if up[i] == i else top(up[i])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            k = len(np.intersect1d(a, b))
+            if root[i] != root[j] and 100 * k >= 80 * (len(a) + len(b) - k):
+                up[top(i)] = top(j)
+    want, got = [top(i) for i in range(len(sets))], list(range(len(sets)))
+    for u, v in ngram_jaccard.tile_links(sets, root, 80):
+        a, b = got[u], got[v]
+        assert a != b
+        got = [a if x == b else x for x in got]
+    assert len({*zip(want, got)}) == len(set(want)) == len(set(got)) > 1
+
+
 def test_keys_meet_whatever_is_heavy():
     """Any similar pair shares a key (and as many as its bound says), for every choice of heavy shingles."""
     rng = np.random.default_rng(5)
@@ -150,7 +192,7 @@ def test_keys_meet_whatever_is_heavy():
             heavy = np.sort(rng.permutation(np.union1d(a, b))[: int(share * n)])
             g, row = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
             size = np.array([len(a), len(b)])
-            keys, owner, weak = ngram_jaccard.signatures(g, row, size, bands, heavy)
+            keys, owner, weak, _ = ngram_jaccard.signatures(g, row, size, bands, heavy)
             shared = np.intersect1d(keys[owner == 0], keys[owner == 1])
             band = bands.of(size)
             scheme = int(band.max())

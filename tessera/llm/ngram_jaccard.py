@@ -20,7 +20,7 @@ its key (a number linear in the keys); the proven links make components. Then, i
 meet, sets are compared across components inside tasks: a similar pair agrees in 1 + slack segments of its
 scheme, so it shares at least 1 + slack - w keys there, w being the weak segments of either set; a set with
 fewer open keys is done, and of K open keys it needs to meet others in its K - need + 1 rarest only (two sets
-that share `need` keys share one of those). A key's sets are dealt into blocks of bounded size, and each pair of
+that share `need` keys share one of those); keys with the same least set are joined. A key's sets are dealt into blocks of bounded size, and each pair of
 blocks is one tile; the sets of the component that holds most of a key meet those of the others only. A tile
 counts the shingles in common of all its pairs and hands on a spanning forest of the links it finds, so neither
 pairs nor links are ever rows. Sets with equal content are one class from the start.
@@ -64,6 +64,8 @@ BUCKET = 250_000
 FAN = 2048
 #: Sets and shingles of a block; a tile is two blocks.
 TILE_ROWS = 512
+#: Keys of more sets are never joined with others.
+JOINED = 4096
 TILE_SHINGLES = 500_000
 
 #: Classes that a task remembers to skip their copies; those it forgets are merged after the shuffle.
@@ -537,20 +539,23 @@ def tile_links(sets: list[np.ndarray], root: np.ndarray, threshold: int) -> list
     return out
 
 
-def _open_keys(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, cls, n, root, c (the key's sets): for each set the keys in which it still has to meet others, in keys
-    that hold several components."""
-    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = lambda df: df.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
-    total = members.count()
-    at_keys = mixed(placed)
-    opened = cut(salted_join(placed, at_keys, "key", hot_keys(at_keys, "key", "c", total), F.col("cls")))
-    # the rarest keys of a set and scheme, as many as it needs; a set's keys are as many as its shingles
+def _open_keys(members: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """key, cls, n, root: for each set the keys in which it still has to meet others, in keys that hold several
+    components. Keys of up to JOINED sets whose least set is the same are joined to one: near copies share many keys,
+    each of which holds most of them, and so meet once."""
     from pyspark.sql import Window
 
+    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    at_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
+    opened = salted_join(placed, at_keys, "key", hot_keys(at_keys, "key", "c", members.count()), F.col("cls"))
+    # the rarest keys of a set and scheme, as many as it needs; a set's keys are as many as its shingles
     of_set = Window.partitionBy("cls", "scheme")
     ranked = opened.withColumn("k", F.count("*").over(of_set)).withColumn("nth", F.row_number().over(of_set.orderBy("c", "key")))
-    return ranked.where("nth <= k - need + 1").select("key", "cls", "n", "root")
+    ranked = cut(ranked.where("nth <= k - need + 1").select("key", "cls", "n", "root"))
+    left = ranked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("c"), F.min("cls").alias("first"))
+    left = left.where(f"lo <> hi and (c > 2 or 100 * least >= {threshold} * most)").select("key", "c", F.when(F.col("c") <= JOINED, F.col("first")).otherwise(F.col("key")).alias("joined"))
+    joined = salted_join(ranked, left, "key", hot_keys(left, "key", "c", ranked.count()), F.col("cls"))
+    return joined.select(F.col("joined").alias("key"), "cls", "n", "root").distinct()
 
 
 def _tiles(opened: DataFrame) -> DataFrame:
@@ -559,7 +564,7 @@ def _tiles(opened: DataFrame) -> DataFrame:
     blocks = lambda c, s: F.ceil(F.greatest(c / F.lit(TILE_ROWS), s / F.lit(TILE_SHINGLES))).cast("int")
     keys = sizes.groupBy("key").agg(F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     # blocks of the component with most sets of the key, and of the others
-    keys = keys.where("c > most.c").select("key", "c", F.col("most.root").alias("main"), blocks(F.col("most.c"), F.col("most.s")).alias("mains"), blocks(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("others"))
+    keys = keys.select("key", "c", F.col("most.root").alias("main"), blocks(F.col("most.c"), F.col("most.s")).alias("mains"), blocks(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("others"))
     placed = salted_join(opened, keys.drop("c"), "key", hot_keys(keys, "key", "c", opened.count()), F.col("cls"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("root") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     # tile (i, j): i a block of the main component (from 0 on) or of the others (below 0), j one of the others
@@ -624,7 +629,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     needed = stars.select("cls").unionByName(stars.select(F.col("centre").alias("cls"))).distinct()
     roots = cut(components(cut(_verified(stars, _sets(docs, text, needed, twice, bits), threshold))))
 
-    tiles = cut(_tiles(cut(_open_keys(members, roots))))
+    tiles = cut(_tiles(cut(_open_keys(members, roots, threshold))))
     links = cut(_across(tiles, _sets(docs, text, tiles.select("cls").distinct(), twice, bits), threshold))
     if links.limit(1).count():
         roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))

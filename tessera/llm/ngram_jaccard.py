@@ -253,7 +253,7 @@ def _base(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
 
 def _deal(key, cls, n, w0, w1, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each value of b: its signatures, packed. Runs of one set's keys tell of it once."""
-    order = np.argsort(b.astype(np.int16) if b.max() < 1 << 15 else b, kind="stable")
+    order = np.argsort(b.astype(np.int16) if b.max() < 1 << 15 and b.min() >= 0 else b, kind="stable")
     key, cls, n, w0, w1, b = key[order], cls[order], n[order], w0[order], w1[order], b[order]
     low = key.view(np.uint8).reshape(-1, 8)
     edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
@@ -322,7 +322,8 @@ def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray, often:
             key, cls, n, w0, w1, hot = (np.concatenate(x) for x in zip(*held))
             # one of the first level's buckets is a range of the second's
             b = bucket(key, n_buckets) if levels == 1 else bucket(key, n_buckets) * FAN // n_buckets
-            yield from _deal(key, cls, n, w0, w1, np.where(hot, -1, b))
+            # hot keys go as they are, a flush's to one bucket
+            yield from _deal(key, cls, n, w0, w1, np.where(hot, -1 - (K.mix(key[:1] ^ cls[-1:]) >> U(2)).astype(np.int64), b))
 
         for batch in batches:
             for a, z, buf, offsets in text_chunks(batch.column(0)):
@@ -352,6 +353,9 @@ def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray, often:
         held, n_held = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], c.type) for v, c in zip(row, batch.columns)], names=batch.schema.names)
+                    continue
                 first = -(-row[0] * n_buckets // FAN)  # the least bucket of this range
                 key, cls, n, w0, w1, run = _packed(row, 6)
                 # the upper bytes are gone, the bucket within the range is dealt by the lower ones
@@ -366,6 +370,11 @@ def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray, often:
             yield from _deal(*(np.concatenate(x) for x in zip(*held)))
 
     def meet(t: pa.Table) -> pa.Table:
+        if len(t) and t.column("b")[0].as_py() < 0:
+            parts = [_member(key, cls[run], n[run], w0[run], w1[run], bands) for key, cls, n, w0, w1, run in (_packed(row, 8) for row in zip(*(c.to_pylist() for c in t.columns)))]
+            m = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+            none = np.zeros(len(m["key"]), bool)
+            return pa.table(m | {"centre": m["cls"], "star": none, "star_need": m["need"], "hot": ~none})
         parts = [_packed(row, 6) for row in zip(*(c.to_pylist() for c in t.columns))]
         runs = np.cumsum([0, *(len(p[1]) for p in parts)])
         key, run = np.concatenate([p[0] for p in parts]), np.concatenate([p[5] + at for p, at in zip(parts, runs)])
@@ -390,25 +399,18 @@ def _members(docs: DataFrame, text: str, bands: Bands, heavy: np.ndarray, often:
         m["key"] = (key + U(number % (1 << 63))).view(np.int64)
         at = np.flatnonzero(keep)
         m |= {"centre": m["cls"][begin], "star": star & (begin != np.arange(len(key))), "star_need": np.maximum(m["need"], m["need"][begin])}
-        return pa.table({c: v[at] for c, v in m.items()})
+        return pa.table({c: v[at] for c, v in m.items()} | {"hot": np.zeros(len(at), bool)})
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, cls, n, w0, w1, run = _packed(row, 8)
-                m = _member(key, cls[run], n[run], w0[run], w1[run], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in m.values()], names=list(m))
-
-    indexed = stored(docs.select(F.col(text).alias("t")).mapInArrow(index, SIGNATURES), "signatures")
-    dealt = indexed.where("b >= 0")
+    dealt = docs.select(F.col(text).alias("t")).mapInArrow(index, SIGNATURES)
     if levels == 2:
         dealt = dealt.repartition(buckets(spark), "b").mapInArrow(deal_again, SIGNATURES)
-    rare = stored(dealt.groupBy("b").applyInArrow(meet, f"{MEMBER}, centre long, star boolean, star_need long"), "members")
+    met = stored(dealt.groupBy("b").applyInArrow(meet, f"{MEMBER}, centre long, star boolean, star_need long, hot boolean"), "members")
+    rare = met.where("not hot")
     pairs = rare.where("star").select("centre", "cls", F.col("star_need").alias("need"))
     columns = ["key", "cls", "n", "band", "scheme", "need"]
     if not len(heavy):
         return rare.select(columns), pairs
-    frequent = stored(indexed.where("b < 0").mapInArrow(known, MEMBER).dropDuplicates(["key", "cls"]), "frequent")
+    frequent = stored(met.where("hot").select(columns).dropDuplicates(["key", "cls"]), "frequent")
     # a row for each heavy shingle and scheme, 2 * HEAVY at most
     centres = frequent.groupBy("key").agg(F.min_by(F.struct("cls", "n", "band"), "cls").alias("c")).select("key", F.col("c.cls").alias("centre"), F.col("c.n").alias("m"), F.col("c.band").alias("other"))
     hot_pairs = frequent.join(F.broadcast(centres), "key").where("cls <> centre").where(f"100 * least(n, m) >= {threshold} * greatest(n, m) and scheme = greatest(band, other)")
@@ -476,8 +478,9 @@ def _sets(docs: DataFrame, text: str, needed: DataFrame, twice: np.ndarray, bits
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (centre, cls) whose sets are similar enough. A centre with many partners is dealt to several tasks."""
     counts = pairs.groupBy("centre").agg(F.count("*").alias("n"))
-    hot = F.broadcast(hot_keys(counts, "centre", "n", pairs.count()))
-    dealt = pairs.join(hot, "centre", "left").select("centre", "cls", F.pmod(F.xxhash64("cls"), F.coalesce("__salts", F.lit(1))).alias("deal"))
+    hot = hot_keys(counts, "centre", "n", pairs.count())
+    dealt = pairs.withColumn("__salts", F.lit(1)) if hot is None else pairs.join(F.broadcast(hot), "centre", "left")
+    dealt = dealt.select("centre", "cls", F.pmod(F.xxhash64("cls"), F.coalesce("__salts", F.lit(1))).alias("deal"))
     theirs = dealt.join(sets, "cls").select("centre", "deal", F.lit(1).alias("part"), "cls", "s")
     own = dealt.select("centre", "deal").distinct().join(sets.withColumnRenamed("cls", "centre"), "centre").select("centre", "deal", F.lit(0).alias("part"), F.col("centre").alias("cls"), "s")
     # the centre's row comes first

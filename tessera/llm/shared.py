@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as vectors at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 18
-#: Rows of one key from which on it may be hot.
-HOT_ROWS = 1000
+#: Rows of one key that a task takes without being dealt more of them than others are.
+HOT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
     """key, __salts of the keys with more than a thousandth of all rows (HOT_ROWS at least), so a thousand rows at
-    most, from one row per key with its count n. A key's rows are to be dealt over so many salts."""
+    most, from one row per key with its count n. A key's rows are to be dealt over so many salts. None where the
+    total is too small for any."""
     floor = max(HOT_ROWS, total // 1000)
+    if total <= floor:
+        return None
     return counted.where(F.col(n) > floor).select(key, F.ceil(F.col(n) / floor).cast("int").alias("__salts"))
 
 
-def salted_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, by: Column) -> DataFrame:
     """big with the columns of one (a row per key), where the rows of a hot key are dealt by `by` over several
     tasks. hot is the table of hot_keys, small enough to be sent to all tasks whatever the size of big."""
+    if hot is None:
+        return big.join(one, key)
     hot = F.broadcast(hot)
     dealt = big.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
     copies = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
 
 
 def lower_ascii(c: Column) -> Column:

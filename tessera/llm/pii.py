@@ -47,6 +47,7 @@ HOLDS = (
 )
 
 WINDOW = 100
+PIECE = 1024
 WORD = r"\p{L}{3,}"
 GENERALISE, REMOVE = 0.8, 0.95
 SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
@@ -56,14 +57,42 @@ def _q(s: str) -> str:
     return "r'" + s + "'"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body, in which name stands for value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(values: str, plus: str) -> str:
+    """SQL for what plus (of x and y) makes of each beginning of an array of integers, by doubling steps: n log n,
+    where an array that grows by one is copied n times."""
+    shifted = "concat(array_repeat(0, cast(shiftleft(1, k) as int)), slice(a, 1, size(a) - cast(shiftleft(1, k) as int)))"
+    return f"aggregate(sequence(0, cast(ceil(log2(size({values}) + 1)) as int)), {values}, (a, k) -> if(size(a) > shiftleft(1, k), zip_with(a, {shifted}, (x, y) -> {plus}), a))"
+
+
 def found(text: str, pattern: str, kind: int) -> str:
     """SQL for the spans of a pattern (an SQL expression) in code points: begin s, kind k, end e, value v."""
     # what split leaves and what extract finds alternate in the text; a last piece has no match after it
-    return f"""aggregate(
-        zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (p, m) -> named_struct('p', length(p), 'm', m)),
-        named_struct('at', 0, 'out', cast(array() as {SPANS})),
-        (acc, x) -> if(x.m is null, acc, named_struct('at', acc.at + x.p + length(x.m), 'out', concat(acc.out, array(named_struct('s', acc.at + x.p, 'k', {kind}, 'e', acc.at + x.p + length(x.m), 'v', x.m))))),
-        acc -> acc.out)"""
+    ends = running("transform(zip_with(t.p, t.m, (p, m) -> length(p) + length(m)), x -> coalesce(x, 0))", "x + y")
+    spans = f"filter(zip_with(t.m, {ends}, (m, e) -> if(m is null, null, named_struct('s', e - length(m), 'k', {kind}, 'e', e, 'v', m))), x -> x is not null)"
+    return let("t", f"named_struct('p', split({text}, {pattern}, -1), 'm', regexp_extract_all({text}, {pattern}, 0))", spans)
+
+
+def pieces(text: str) -> str:
+    """SQL for a text column in pieces of PIECE code points, from which part cuts."""
+    return f"regexp_extract_all(`{text}`, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def part(lo: str, hi: str) -> str:
+    """SQL for the code points lo to hi of the text whose __pieces these are, in time of hi - lo and not of lo."""
+    return f"substring(array_join(slice(__pieces, {lo} div {PIECE} + 1, {hi} div {PIECE} - {lo} div {PIECE} + 1), ''), {lo} % {PIECE} + 1, {hi} - {lo})"
+
+
+def apart(base: str, other: str) -> str:
+    """SQL for the spans of other that overlap none of base, by one sort of both and a running maximum."""
+    # a base span counts for the others that end beyond its begin
+    events = f"array_sort(concat(transform({base}, b -> named_struct('at', b.s, 'q', 1, 'e', b.e, 't', cast(null as struct<s:int,k:int,e:int,v:string>))), transform({other}, t -> named_struct('at', t.e, 'q', 0, 'e', 0, 't', t))))"
+    reach = running("transform(ev, v -> v.e)", "greatest(x, y)")
+    return let("ev", events, f"transform(filter(zip_with(ev, {reach}, (v, m) -> named_struct('t', v.t, 'ok', v.q = 0 and m <= v.t.s)), v -> v.ok), v -> v.t)")
 
 
 def base_spans(text: str) -> Column:
@@ -84,14 +113,13 @@ def entities(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]
 def disclosing(docs: DataFrame, held: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE) -> DataFrame:
     """__row, t, share: the terms that disclose an entity of the row, and how much of it."""
     t = F.col(text)
-    occurrence = held.select("__row", t.alias("t"), F.explode("__spans").alias("x"))
-    before = F.expr(f"substring(t, greatest(x.s - {window}, 0) + 1, least(x.s, {window}))")
-    after = F.expr(f"substring(t, x.e + 1, {window})")
-    # words that the window cuts are not whole
-    before = F.when(F.col("x.s") > window, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.when(F.length("t") > F.col("x.e") + window, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    context = F.lower(F.concat(before, F.lit(" | "), after))
-    seen = occurrence.select("__row", F.xxhash64("x.k", F.lower("x.v")).alias("e"), context.alias("c")).withColumn("h", F.xxhash64("c"))
+    # the surroundings of each span, cut from the text's pieces; words that the window cuts are not whole
+    size = "__size"
+    before = f"if(x.s > {window}, regexp_replace({part(f'(x.s - {window})', 'x.s')}, r'^\\p{{L}}+', ''), {part('0', 'x.s')})"
+    after = f"if({size} > x.e + {window}, regexp_replace({part('x.e', f'(x.e + {window})')}, r'\\p{{L}}+$', ''), {part('x.e', size)})"
+    near = f"transform(__spans, x -> named_struct('k', x.k, 'v', x.v, 'c', lower(concat({before}, ' | ', {after}))))"
+    occurrence = held.select("__row", F.explode(F.expr(let("__size", f"length(`{text}`)", let("__pieces", pieces(text), near)))).alias("x"))
+    seen = occurrence.select("__row", F.xxhash64("x.k", F.lower("x.v")).alias("e"), F.col("x.c").alias("c")).withColumn("h", F.xxhash64("c"))
     words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(WORD), F.lit(0))))
     near = seen.select("__row", "e", words(F.col("c")).alias("t"), "h").groupBy("__row", "e", "t").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     # an entity's contexts in a document as one: they stand for the terms of the document that are in none of them
@@ -129,7 +157,7 @@ def with_terms(docs: DataFrame, held: DataFrame, text: str = "text", remove: flo
     joined = joined.withColumn("__found", spans)
     joined = joined.withColumn(
         "__all",
-        F.expr("array_sort(concat(__spans, transform(filter(__found, t -> not exists(__spans, b -> b.s < t.e and t.s < b.e)), t -> named_struct('s', t.s, 'k', t.k, 'e', t.e, 'v', coalesce(__acts[lower(t.v)], 'generalise')))))"),
+        F.expr("array_sort(concat(__spans, transform(" + apart("__spans", "__found") + ", t -> named_struct('s', t.s, 'k', t.k, 'e', t.e, 'v', coalesce(__acts[lower(t.v)], 'generalise')))))"),
     )
     return joined.drop("__terms", "__acts", "__pattern", "__found")
 
@@ -144,11 +172,9 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base spans replaced by labels and disclosing terms removed or generalised; an n_chars column follows its text."""
     held, clean = entities(docs, text)
     label = "case when x.k < 4 then element_at(array(" + ", ".join(f"'{x}'" for x in LABELS) + "), x.k + 1) when x.v = 'remove' then '' else '[TERM]' end"
-    new = F.expr(
-        f"""aggregate(__all, named_struct('at', 0, 'out', ''),
-        (acc, x) -> if(x.s >= acc.at, named_struct('at', x.e, 'out', concat(acc.out, substring(`{text}`, acc.at + 1, x.s - acc.at), {label})), named_struct('at', greatest(acc.at, x.e), 'out', acc.out)),
-        acc -> concat(acc.out, substring(`{text}`, acc.at + 1)))"""
-    )
+    reach = running("transform(__all, x -> x.e)", "greatest(x, y)")
+    kept = f"array_join(zip_with(__all, concat(array(0), {reach}), (x, at) -> case when x is null then {part('at', 'length(`' + text + '`)')} when x.s >= at then concat({part('at', 'x.s')}, {label}) else '' end), '')"
+    new = F.expr(let("__pieces", pieces(text), kept))
     changed = with_terms(docs, held, text).withColumn(text, new)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

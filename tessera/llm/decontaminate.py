@@ -274,8 +274,9 @@ def _chain(first, second, rest):
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that are not contaminated, with all their columns."""
-    return matches(docs, benchmark, docs.columns, text).where(~F.col("contaminated")).select(*docs.columns)
+    """Rows that are not contaminated, with all their columns, whatever these are named."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__words"))
+    return matches(rows, benchmark, ["__doc"], "__words").where(~F.col("contaminated")).select("__doc.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

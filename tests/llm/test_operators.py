@@ -594,6 +594,47 @@ def test_html_extraction(spark):
     assert html_extraction.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "post no-comments", "layout-with-sidebar", "side-by-side", "legal-news", "article-form", "post promoted", "nav-open"])
+def test_html_names_are_read_whole(name):
+    for page in (f'<div class="{name}"><article><p>Some text.</p></article></div>', f'<article class="{name}"><p>Some text.</p></article>'):
+        assert html_extraction.extract(page) == "Some text."
+    for bad in ("ad", "site-footer", "navMenu", "sidebar left", "comments-area"):
+        assert html_extraction.extract(f'<article><p>Some text.</p><div class="{bad}"><p>Not this one.</p></div></article>') == "Some text."
+
+
+def test_html_cut_turns_doubtful_blocks():
+    """A short line among paragraphs goes with them, one among links goes with those; the classifier alone says otherwise."""
+    text, link = "<div>This is a sentence of some length, and it ends well. Another one follows it.</div>", '<div><a href="/x">Go to this place</a></div>'
+    page = f"<div>{text * 3}<div>By 12</div>{text * 3}</div><div>{link * 5}</div>"
+    blocks = html_extraction.blocks_of(page)
+    at = [b.text for b in blocks].index("By 12")
+    cost = html_extraction.evidence(blocks, html_extraction.PLAIN)
+    label = html_extraction.min_cut(cost, html_extraction.smooth_edges(blocks))
+    assert cost[at] < 0 and label[at] and not any(label[7:])
+    n = 9
+    edges = [(a, b, c) for a, b, c in html_extraction.smooth_edges(blocks) if a < n and b < n]
+    sides = [[bool(m >> i & 1) for i in range(n)] for m in range(1 << n)]
+    best = min(cut_value(cost[:n], edges, side) for side in sides)
+    assert abs(cut_value(cost[:n], edges, html_extraction.min_cut(cost[:n], edges)) - best) < 1e-6
+
+
+def test_html_is_read_in_one_pass():
+    import time
+
+    for piece in ("<b ", "<div>", "<div>x", "</article>", "<p><b>x</b>", '<a title="'):
+        began = time.time()
+        html_extraction.extract(piece * 20_000 + '"')
+        assert time.time() - began < 5, piece
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = table(spark, [(1, "alpha beta gamma"), (2, "clean words")]).withColumns({c: F.lit("mine") for c in ("n_hit", "n_words", "n_items", "items_sha256", "contaminated")})
+    for words in (decontaminate.BLOCK_WORDS, 1):
+        kept = decontaminate.filter_documents(docs, bench)
+        assert kept.columns == docs.columns and [(r.doc_id, r.n_hit, r.contaminated) for r in kept.collect()] == [(2, "mine", "mine")]
+
+
 # --- pipeline ----------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline

@@ -181,20 +181,30 @@ def valid_position(span: Column, text: Column) -> Column:
 # --- coreference, names, entities --------------------------------------------------------------------
 #: Pronouns, given names, abbreviations.
 PRONOUNS = {**dict.fromkeys("he him his".split(), "M"), **dict.fromkeys("she her hers".split(), "F"), **dict.fromkeys("they them their theirs".split(), None)}
-FEMALE = frozenset("mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty helen sandra donna carol ruth sharon michelle laura jane anna".split())
-MALE = frozenset("james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin".split())
-ABBREVIATIONS = frozenset("Dr Mr Mrs Ms Jr Sr Prof Rev vs etc Inc Ltd Corp".split())
+# The most frequent given names of the US census of 1990, by rank.
+FEMALE = frozenset((
+    "mary", "patricia", "linda", "barbara", "elizabeth", "jennifer", "maria", "susan", "margaret", "dorothy", "lisa", "nancy", "karen", "betty", "helen", "sandra",
+    "donna", "carol", "ruth", "sharon", "michelle", "laura", "sarah", "kimberly", "deborah", "jessica", "shirley", "cynthia", "angela", "melissa", "jane", "anna",
+))
+MALE = frozenset((
+    "james", "john", "robert", "michael", "william", "david", "richard", "charles", "joseph", "thomas", "christopher", "daniel", "paul", "mark", "donald", "george",
+    "kenneth", "steven", "edward", "brian", "ronald", "anthony", "kevin", "jason", "matthew", "gary", "timothy", "jose", "larry", "jeffrey", "frank", "andrew",
+))
+ABBREVIATIONS = frozenset(("dr", "mr", "mrs", "ms", "prof", "rev", "jr", "sr", "st", "no", "vs", "etc", "inc", "ltd", "corp", "co", "e.g", "i.e"))
 _PRONOUN = re.compile(r"\b(" + "|".join(PRONOUNS) + r")\b", re.I)
 
 
 def sentences(text: str) -> list[int]:
-    """Where each sentence begins."""
-    out = [0]
-    for m in re.finditer(r"[.!?]+\s+", text):
-        before = text[max(0, m.start() - 10) : m.start()].split()
-        if not (before and before[-1].rstrip(".") in ABBREVIATIONS) and m.end() < len(text):
-            out.append(m.end())
-    return out
+    """Where each sentence begins: after a word that ends in . ! or ? (closing quotes and brackets may follow) and is
+    neither an abbreviation nor an initial."""
+    begins, ended = [0], False
+    for word in re.finditer(r"\S+", text):
+        if ended:
+            begins.append(word.start())
+        bare = word[0].rstrip("\"')]")
+        stem = bare.rstrip(".!?").lstrip("\"'([").lower()
+        ended = bare != bare.rstrip(".!?") and (bare[-1] != "." or not (stem in ABBREVIATIONS or len(stem) == 1 and stem.isalpha()))
+    return begins
 
 
 def gender(name: str) -> str | None:

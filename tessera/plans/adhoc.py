@@ -6,6 +6,7 @@ import re
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.catalogue import query
@@ -21,6 +22,11 @@ _ESCAPE = re.compile(r"\b(" + "|".join(ESCAPES) + r")\s*\(", re.I)
 _PATH = re.compile(r"\b(parquet|csv|json|orc|avro|text|binaryfile|delta|xml)\s*\.\s*`", re.I)
 
 
+#: Whether a path may stand for a table. A query is analysed under a lock, for the setting is the session's.
+_FILES = "spark.sql.runSQLOnFiles"
+_ANALYSIS = threading.Lock()
+
+
 class Rejected(ValueError):
     """A query the guard does not let through."""
 
@@ -98,7 +104,17 @@ def tenant_views(spark: SparkSession, sf_dir: str, tenant: str | None) -> None:
 def run_guarded(spark: SparkSession, sql: str, tenant: str = "", limit: int = DEFAULT_ROWS) -> DataFrame:
     """The guarded query as a DataFrame of at most limit + 1 rows; the extra row tells that it was cut."""
     text = bind_tenant(validate(sql))
-    return spark.sql(text, args={"tenant": tenant} if ":tenant" in text else None).limit(min(limit, MAX_ROWS) + 1)
+    with _ANALYSIS:
+        # whatever the spelling (quotes, comments), no relation is a file: names are looked up among the views only
+        before = spark.conf.get(_FILES, "true")
+        spark.conf.set(_FILES, "false")
+        try:
+            df = spark.sql(text, args={"tenant": tenant} if ":tenant" in text else None)
+        except AnalysisException as e:
+            raise Rejected(str(e).splitlines()[0]) from e
+        finally:
+            spark.conf.set(_FILES, before)
+    return df.limit(min(limit, MAX_ROWS) + 1)
 
 
 def fetch(spark: SparkSession, sql: str, tenant: str = "", limit: int = DEFAULT_ROWS, timeout: float = TIMEOUT) -> dict:

@@ -38,7 +38,17 @@ class Pack:
 
 
 # --- fixed values: the built-in packs ----------------------------------------------------------------
-HIPAA_COMBINATIONS = tuple(tuple(c.split("+")) for c in "person_name+date_of_birth+medical_facility person_name+diagnosis person_name+treatment person_name+medical_provider ssn+medical_provider ssn+diagnosis email+diagnosis phone+diagnosis address+diagnosis".split())
+HIPAA_COMBINATIONS = (
+    ("person_name", "date_of_birth", "medical_facility"),
+    ("person_name", "diagnosis"),
+    ("person_name", "treatment"),
+    ("person_name", "medical_provider"),
+    ("ssn", "medical_provider"),
+    ("ssn", "diagnosis"),
+    ("email", "diagnosis"),
+    ("phone", "diagnosis"),
+    ("address", "diagnosis"),
+)
 PACKS = (
     Pack("HIPAA PHI", "hipaa", "critical", Trigger(tuple("medical_record_number mrn health_insurance_id health_plan_beneficiary diagnosis_code icd_code prescription medication npi dea_number".split()), combinations=HIPAA_COMBINATIONS, min_confidence=0.7),
          handling=("encryption_required", "encryption_at_rest", "encryption_in_transit", "audit_access", "access_logging"), min_days=2190, review_days=365, regions=("US",), priority=100),

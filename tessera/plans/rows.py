@@ -18,18 +18,48 @@ from tessera.session import table
 
 # --- fixed values: operations and masks of the event sources ----------------------------------------
 OPERATIONS = {
-    "FileAccessed": "read", "FileAccessedExtended": "read", "FileDownloaded": "read", "FilePreviewed": "read", "FileSyncDownloadedFull": "read", "FileSyncDownloadedPartial": "read",
-    "FileModified": "write", "FileModifiedExtended": "write", "FileUploaded": "write", "FileCheckedIn": "write", "FileSyncUploadedFull": "write", "FileSyncUploadedPartial": "write", "FileCopied": "write",
-    "FileDeleted": "delete", "FileRecycled": "delete", "FileDeletedFirstStageRecycleBin": "delete", "FileDeletedSecondStageRecycleBin": "delete",
-    "FileRenamed": "rename", "FileMoved": "rename",
-    "SharingSet": "permission_change", "SharingRevoked": "permission_change", "AnonymousLinkCreated": "permission_change", "AnonymousLinkUpdated": "permission_change", "AnonymousLinkRemoved": "permission_change", "CompanyLinkCreated": "permission_change", "SharingInvitationCreated": "permission_change", "AddedToSecureLink": "permission_change", "PermissionLevelModified": "permission_change",
+    "FileAccessed": "read",
+    "FileAccessedExtended": "read",
+    "FilePreviewed": "read",
+    "FileDownloaded": "read",
+    "FileSyncDownloadedFull": "read",
+    "FileSyncDownloadedPartial": "read",
+    "FileCopied": "read",
+    "FileModified": "write",
+    "FileModifiedExtended": "write",
+    "FileUploaded": "write",
+    "FileSyncUploadedFull": "write",
+    "FileSyncUploadedPartial": "write",
+    "FileCheckedOut": "write",
+    "FileCheckedIn": "write",
+    "FileRestored": "write",
+    "FileDeleted": "delete",
+    "FileDeletedFirstStageRecycleBin": "delete",
+    "FileDeletedSecondStageRecycleBin": "delete",
+    "FileRecycled": "delete",
+    "FileVersionsAllDeleted": "delete",
+    "FileMoved": "rename",
+    "FileRenamed": "rename",
+    "SharingSet": "permission_change",
+    "SharingRevoked": "permission_change",
+    "SharingInheritanceBroken": "permission_change",
+    "SharingInheritanceReset": "permission_change",
+    "AnonymousLinkCreated": "permission_change",
+    "AnonymousLinkUpdated": "permission_change",
+    "AnonymousLinkRemoved": "permission_change",
+    "CompanyLinkCreated": "permission_change",
+    "CompanyLinkRemoved": "permission_change",
+    "AddedToSecureLink": "permission_change",
+    "RemovedFromSecureLink": "permission_change",
 }
-USN = (("delete", 0x00000200), ("rename", 0x00001000 | 0x00002000), ("permission_change", 0x00000800), ("write", 0x00000001 | 0x00000002 | 0x00000004 | 0x00000100))
-FANOTIFY = (("delete", 0x00000200), ("rename", 0x00000040 | 0x00000080), ("permission_change", 0x00000004), ("write", 0x00000002 | 0x00000008), ("execute", 0x00001000), ("read", 0x00000001 | 0x00000020))
-ACCESS_MASK = (("read", 0x1), ("write", 0x2), ("write", 0x4), ("execute", 0x20), ("delete", 0x10000), ("permission_change", 0x40000))
-SYSTEM_ACCOUNTS = ("SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ANONYMOUS LOGON", "DWM-1", "UMFD-0")
+# Journal reasons: data and named data overwritten, extended, truncated, or a file made, are writes; so is the rest.
+USN = (("delete", 0x200), ("rename", 0x1000 | 0x2000), ("permission_change", 0x800), ("write", 0x1 | 0x2 | 0x4 | 0x10 | 0x20 | 0x40 | 0x100))
+# Deleted or self deleted; moved from, to or self moved; modified, closed after writing or made; accessed. The rest are writes.
+FANOTIFY = (("delete", 0x200 | 0x400), ("rename", 0x40 | 0x80 | 0x800), ("write", 0x2 | 0x8 | 0x100), ("read", 0x1))
+ACCESS_MASK = (("read", 0x1), ("write", 0x2), ("write", 0x4), ("delete", 0x10000), ("permission_change", 0x40000))
+SYSTEM_ACCOUNTS = ("SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "DWM-1", "DWM-2", "DWM-3", "UMFD-0", "UMFD-1")
 SYSTEM_SIDS = ("S-1-5-18", "S-1-5-19", "S-1-5-20")
-LINUX_ACCOUNTS = ("root", "daemon", "nobody", "systemd-network", "systemd-resolve", "messagebus")
+LINUX_ACCOUNTS = ("root", "nobody", "daemon", "bin", "sys")
 # --- end of fixed values ---------------------------------------------------------------------------
 
 
@@ -41,26 +71,39 @@ def by_mask(mask: Column, bits, default: str | None) -> Column:
     return out
 
 
-@query("fanotify_actions", "SELECT l_orderkey * 8 + l_linenumber AS id, case when (l_partkey % 8192) & 512 <> 0 then 'delete' when (l_partkey % 8192) & 192 <> 0 then 'rename' when (l_partkey % 8192) & 4 <> 0 then 'permission_change' when (l_partkey % 8192) & 10 <> 0 then 'write' when (l_partkey % 8192) & 4096 <> 0 then 'execute' when (l_partkey % 8192) & 33 <> 0 then 'read' else 'unknown' end AS action FROM lineitem")
+_FANOTIFY_MASK = "((l_partkey * 37 + l_linenumber) % 4096)"
+
+
+@query("fanotify_actions", f"SELECT l_orderkey * 8 + l_linenumber AS id, case when {_FANOTIFY_MASK} & 1536 <> 0 then 'delete' when {_FANOTIFY_MASK} & 2240 <> 0 then 'rename' when {_FANOTIFY_MASK} & 266 <> 0 then 'write' when {_FANOTIFY_MASK} & 1 <> 0 then 'read' else 'write' end AS action FROM lineitem")
 def fanotify_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
-    return l.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), by_mask(F.col("l_partkey") % 8192, FANOTIFY, "unknown").alias("action"))
+    return l.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), by_mask(F.expr(_FANOTIFY_MASK).cast("long"), FANOTIFY, "write").alias("action"))
+
 
+_ACCESS = "(1::bigint << (o_orderkey % 20)::int)"
 
-@query("windows_access_mask", "SELECT o_orderkey AS id, case when o_custkey & 1 <> 0 then 'read' when o_custkey & 2 <> 0 then 'write' when o_custkey & 4 <> 0 then 'write' when o_custkey & 32 <> 0 then 'execute' else 'unknown' end AS action, try_cast('1' || o_custkey AS int) AS pid FROM orders")
+
+@query("windows_access_mask", f"SELECT o_orderkey AS id, case when {_ACCESS} & 1 <> 0 then 'read' when {_ACCESS} & 6 <> 0 then 'write' when {_ACCESS} & 65536 <> 0 then 'delete' when {_ACCESS} & 262144 <> 0 then 'permission_change' else 'unknown' end AS action, try_cast('1' || o_custkey AS int) AS pid FROM orders")
 def windows_access_mask(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), by_mask(F.col("o_custkey"), ACCESS_MASK, "unknown").alias("action"), F.concat(F.lit("1"), F.col("o_custkey").cast("string")).try_cast("int").alias("pid"))
+    mask = F.expr("shiftleft(1L, cast(o_orderkey % 20 as int))")
+    return o.select(F.col("o_orderkey").alias("id"), by_mask(mask, ACCESS_MASK, "unknown").alias("action"), F.concat(F.lit("1"), F.col("o_custkey").cast("string")).try_cast("int").alias("pid"))
 
 
-M365 = """SELECT event_id, '{"Operation":"' || case event_type when 'view' then 'FileAccessed' when 'click' then 'FilePreviewed' when 'purchase' then 'FileModified' when 'signup' then 'SharingSet' else 'UserLoggedIn' end || '","CreationTime":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","ObjectId":"https://site' || (user_id % 3) || '/f' || event_id || '","UserId":"u' || user_id || '"}' AS record FROM events"""
+_M365_SQL = """WITH o AS (SELECT event_id, ts, user_id, (['FileAccessed', 'FileAccessedExtended', 'FilePreviewed', 'FileDownloaded', 'FileSyncDownloadedFull', 'FileSyncDownloadedPartial', 'FileCopied',
+  'FileModified', 'FileModifiedExtended', 'FileUploaded', 'FileSyncUploadedFull', 'FileSyncUploadedPartial', 'FileCheckedOut', 'FileCheckedIn', 'FileRestored',
+  'FileDeleted', 'FileDeletedFirstStageRecycleBin', 'FileDeletedSecondStageRecycleBin', 'FileRecycled', 'FileVersionsAllDeleted', 'FileMoved', 'FileRenamed', 'SharingSet', 'SharingRevoked', 'SharingInheritanceBroken', 'SharingInheritanceReset',
+  'AnonymousLinkCreated', 'AnonymousLinkUpdated', 'AnonymousLinkRemoved', 'CompanyLinkCreated', 'CompanyLinkRemoved', 'AddedToSecureLink', 'RemovedFromSecureLink', 'UserLoggedIn'])[event_id % 34 + 1] AS op FROM events)
+SELECT event_id, case when op like '%Delete%' or op like '%Recycle%' then 'delete' when op in ('FileMoved', 'FileRenamed') then 'rename' when op like 'Sharing%' or op like '%Link%' then 'permission_change'
+  when op like '%Modified%' or op like '%Upload%' or op like 'FileChecked%' or op = 'FileRestored' then 'write' when op <> 'UserLoggedIn' then 'read' end AS action,
+  'https://site' || (user_id % 3) || '/f' || event_id AS path, 'u' || user_id AS user_name, date_trunc('second', ts) AS event_time FROM o WHERE op <> 'UserLoggedIn' AND user_id % 3 = 1"""
 
 
-@query("m365_audit_parse", """SELECT event_id, case event_type when 'view' then 'read' when 'click' then 'read' when 'purchase' then 'write' when 'signup' then 'permission_change' end AS action, 'https://site' || (user_id % 3) || '/f' || event_id AS path, 'u' || user_id AS user_name, date_trunc('second', ts) AS event_time FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup') AND user_id % 3 = 1""")
+@query("m365_audit_parse", _M365_SQL)
 def m365_audit_parse(spark, sf_dir, site: str = "https://site1/"):
     """Audit records (JSON) to events: file operations below a site only."""
     e = table(spark, sf_dir, "events")
-    op = X.literal_map({"view": "FileAccessed", "click": "FilePreviewed", "purchase": "FileModified", "signup": "SharingSet", "error": "UserLoggedIn"})[F.col("event_type")]
+    op = F.element_at(F.array(*[F.lit(x) for x in [*OPERATIONS, "UserLoggedIn"]]), (F.col("event_id") % (len(OPERATIONS) + 1) + 1).cast("int"))
     record = F.to_json(F.struct(op.alias("Operation"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("CreationTime"), F.concat(F.lit("https://site"), (F.col("user_id") % 3).cast("string"), F.lit("/f"), F.col("event_id").cast("string")).alias("ObjectId"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("UserId")))
     r = e.select("event_id", F.from_json(record, "Operation string, CreationTime string, ObjectId string, SourceRelativeUrl string, UserId string").alias("r"))
     action = X.literal_map(OPERATIONS)[F.col("r.Operation")]
@@ -80,11 +123,14 @@ def auditd_parse(spark, sf_dir):
     return e.select(c.alias("c")).select(F.col("c.id").alias("event_id"), F.to_timestamp("c.at").alias("event_time"), F.col("c.user").alias("user_name"), action.alias("action"))
 
 
-@query("system_account_filter", "SELECT o_orderkey AS id, case o_orderkey % 5 when 0 then 'SYSTEM' when 1 then 'root' when 2 then 'S-1-5-18' else 'user' || o_custkey END AS account FROM orders WHERE o_orderkey % 5 >= 3")
+_ACCOUNTS = ("SYSTEM", "system", "Local Service", "NETWORK SERVICE", "dwm-1", "DWM-2", "DWM-3", "UMFD-0", "umfd-1", "S-1-5-18", "S-1-5-19", "S-1-5-20", "root", "nobody", "daemon", "bin", "sys", "Root", "DWM-4", "s-1-5-18", "messagebus", "john")
+
+
+@query("system_account_filter", "SELECT id, account FROM (SELECT o_orderkey AS id, (['SYSTEM', 'system', 'Local Service', 'NETWORK SERVICE', 'dwm-1', 'DWM-2', 'DWM-3', 'UMFD-0', 'umfd-1', 'S-1-5-18', 'S-1-5-19', 'S-1-5-20', 'root', 'nobody', 'daemon', 'bin', 'sys', 'Root', 'DWM-4', 's-1-5-18', 'messagebus', 'john'])[o_orderkey % 22 + 1] AS account FROM orders) WHERE account IN ('Root', 'DWM-4', 's-1-5-18', 'messagebus', 'john')")
 def system_account_filter(spark, sf_dir):
-    k = F.col("o_orderkey") % 5
-    a = F.when(k == 0, "SYSTEM").when(k == 1, "root").when(k == 2, "S-1-5-18").otherwise(F.concat(F.lit("user"), F.col("o_custkey").cast("string")))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), a.alias("account"))
+    """Accounts but those of the system: Windows names in any case, SIDs and Linux names as they are written."""
+    account = F.element_at(F.array(*[F.lit(x) for x in _ACCOUNTS]), (F.col("o_orderkey") % len(_ACCOUNTS) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), account.alias("account"))
     return o.where(~F.upper("account").isin(*SYSTEM_ACCOUNTS) & ~F.col("account").isin(*SYSTEM_SIDS) & ~F.col("account").isin(*LINUX_ACCOUNTS))
 
 
@@ -109,23 +155,23 @@ def usn_rows(journal: bytes | None) -> Iterator[tuple]:
         at += size
 
 
-@query("usn_journal_decode", "SELECT o_orderkey::bigint AS usn, 'f' || o_orderkey || '.txt' AS name, case when o_orderkey % 4 = 0 then 'delete' when o_orderkey % 4 = 1 then 'rename' when o_orderkey % 4 = 2 then 'permission_change' else 'write' end AS action FROM orders WHERE o_custkey % 10 = 3")
+@query("usn_journal_decode", "SELECT o_orderkey::bigint AS usn, 'f' || o_orderkey || '.txt' AS name, case o_orderkey % 16 when 9 then 'delete' when 12 then 'rename' when 13 then 'rename' when 11 then 'permission_change' else 'write' end AS action FROM orders")
 def usn_journal_decode(spark, sf_dir):
-    """Binary journal records, encoded from orders and decoded again."""
-    masks = (0x200 | 0x1, 0x1000, 0x800 | 0x2, 0x1)
+    """Binary journals of up to 64 records, encoded from all orders and decoded again; each record has one reason
+    bit and the one for closing."""
 
     @F.pandas_udf("binary")
     def encode(k: pd.Series) -> pd.Series:
         t = datetime(2024, 1, 1, tzinfo=timezone.utc)
-        return k.map(lambda x: usn_record(f"f{x}.txt", masks[x % 4], x, t))
+        return k.map(lambda keys: b"".join(usn_record(f"f{x}.txt", 1 << int(x) % 16 | 0x80000000, int(x), t) for x in keys))
 
     @F.pandas_udf("array<struct<usn:long,name:string,reason:long>>")
     def decode(j: pd.Series) -> pd.Series:
         return j.map(lambda b: [{"usn": u, "name": n, "reason": r} for u, n, r, _ in usn_rows(b)])
 
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3").select(encode("o_orderkey").alias("j"))
-    r = o.select(F.explode(decode("j")).alias("r"))
-    return r.select("r.usn", "r.name", by_mask(F.col("r.reason"), USN, "unknown").alias("action"))
+    keys = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 64")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    r = keys.select(encode("k").alias("j")).select(F.explode(decode("j")).alias("r"))
+    return r.select("r.usn", "r.name", by_mask(F.col("r.reason"), USN, "write").alias("action"))
 
 
 def posix_exposure(mode: Column) -> Column:
@@ -346,7 +392,7 @@ def serialize_result(spark, sf_dir):
 
 
 # --- formats of the export sinks --------------------------------------------------------------------
-CEF_SEVERITY = {"CRITICAL": 10, "HIGH": 8, "MEDIUM": 5, "LOW": 3, "MINIMAL": 1}
+CEF_SEVERITY = {"CRITICAL": 10, "HIGH": 7, "MEDIUM": 5, "LOW": 3, "MINIMAL": 1}
 
 
 def cef_header(c: Column) -> Column:
@@ -389,7 +435,7 @@ def syslog(df: DataFrame) -> Column:
     return F.concat(F.lit("<"), (F.lit(16 * 8) + level).cast("string"), F.lit(">1 "), F.date_format("scan_date", "yyyy-MM-dd'T'00:00:00'Z'"), F.lit(" tessera scanner - - - "), cef(df))
 
 
-_SEV = "case risk_tier when 'CRITICAL' then 10 when 'HIGH' then 8 when 'MEDIUM' then 5 when 'LOW' then 3 else 1 end"
+_SEV = "case risk_tier when 'CRITICAL' then 10 when 'HIGH' then 7 when 'MEDIUM' then 5 when 'LOW' then 3 else 1 end"
 _CEF = f"'CEF:0|Tessera|Scanner|1.0|scan_result|' || risk_tier || '|' || {_SEV} || '|fname=' || replace(replace(file_path, chr(92), chr(92) || chr(92)), '=', chr(92) || '=') || ' cn1=' || risk_score || ' cn2=' || total_entities"
 
 

@@ -4,23 +4,197 @@ from __future__ import annotations
 
 import re
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KIND = {"id": T.BinaryType(), "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampType(), "m": T.MapType(T.StringType(), T.IntegerType()), "date": T.DateType()}
+BINARY, STRING, INT, LONG, DOUBLE = T.BinaryType(), T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+BOOLEAN, TIMESTAMP, DATE, COUNTS = T.BooleanType(), T.TimestampType(), T.DateType(), T.MapType(T.StringType(), T.IntegerType())
 
 
-# --- fixed values: columns of the lake's tables by kind (id binary, s string, i int, l long, d double, b boolean, t timestamp, m map) ---
+class Table(NamedTuple):
+    """Columns with their types, the partition columns (last of the columns), and the time that orders the rows."""
+
+    columns: tuple[tuple[str, T.DataType], ...]
+    partitions: tuple[str, ...]
+    ordered_by: str | None
+
+
+# --- fixed values: columns of the lake's tables ------------------------------------------------------
 TABLES = {
-    "scan_results": ("id:id,job_id,tenant_id s:file_path,file_name l:file_size t:file_modified s:content_hash i:risk_score s:risk_tier d:content_score,exposure_multiplier s:exposure_level,owner m:entity_counts i:total_entities b:label_applied s:current_label_name,current_label_id,recommended_label_name t:label_applied_at s:label_error,policy_violations t:scanned_at s:tenant,target date:scan_date", ("tenant", "target", "scan_date"), "scanned_at"),
-    "file_inventory": ("id:id,tenant_id,target_id,folder_id s:file_path,file_name,adapter,content_hash l:file_size t:file_modified i:risk_score s:risk_tier m:entity_counts i:total_entities s:exposure_level,owner,current_label_name,current_label_id t:label_applied_at b:is_monitored,needs_rescan t:last_scanned_at,discovered_at,updated_at i:scan_count,content_changed_count s:tenant,target", ("tenant", "target"), None),
-    "folder_inventory": ("id:id,tenant_id,target_id s:folder_path,adapter i:file_count l:total_size_bytes t:folder_modified,last_scanned_at b:has_sensitive_files s:highest_risk_tier i:total_entities_found t:discovered_at,updated_at s:tenant,target", ("tenant", "target"), None),
-    "access_events": ("id:id,tenant_id,monitored_file_id s:file_path,action b:success s:user_name,user_domain,user_sid,process_name i:process_id s:event_source t:event_time,collected_at s:tenant date:event_date", ("tenant", "event_date"), "event_time"),
-    "audit_log": ("id:id,tenant_id,user_id s:action,resource_type id:resource_id s:details t:created_at s:tenant date:log_date", ("tenant", "log_date"), "created_at"),
-    "directory_tree": ("id:id,tenant_id,target_id s:dir_path,dir_name id:parent_id l:dir_ref,parent_ref id:sd_hash,share_id t:dir_modified i:child_dir_count,child_file_count,flags t:discovered_at,updated_at s:tenant,target", ("tenant", "target"), None),
-    "remediation_actions": ("id:id,tenant_id,file_inventory_id s:action_type,status,source_path,dest_path,performed_by b:dry_run s:error t:created_at,completed_at s:tenant date:action_date", ("tenant", "action_date"), "created_at"),
+    "scan_results": Table(
+        columns=(
+            ("id", BINARY),
+            ("job_id", BINARY),
+            ("tenant_id", BINARY),
+            ("file_path", STRING),
+            ("file_name", STRING),
+            ("file_size", LONG),
+            ("file_modified", TIMESTAMP),
+            ("content_hash", STRING),
+            ("risk_score", INT),
+            ("risk_tier", STRING),
+            ("content_score", DOUBLE),
+            ("exposure_multiplier", DOUBLE),
+            ("exposure_level", STRING),
+            ("owner", STRING),
+            ("entity_counts", COUNTS),
+            ("total_entities", INT),
+            ("label_applied", BOOLEAN),
+            ("current_label_name", STRING),
+            ("current_label_id", STRING),
+            ("recommended_label_name", STRING),
+            ("label_applied_at", TIMESTAMP),
+            ("label_error", STRING),
+            ("policy_violations", STRING),
+            ("scanned_at", TIMESTAMP),
+            ("tenant", STRING),
+            ("target", STRING),
+            ("scan_date", DATE),
+        ),
+        partitions=("tenant", "target", "scan_date",),
+        ordered_by="scanned_at",
+    ),
+    "file_inventory": Table(
+        columns=(
+            ("id", BINARY),
+            ("tenant_id", BINARY),
+            ("target_id", BINARY),
+            ("folder_id", BINARY),
+            ("file_path", STRING),
+            ("file_name", STRING),
+            ("adapter", STRING),
+            ("content_hash", STRING),
+            ("file_size", LONG),
+            ("file_modified", TIMESTAMP),
+            ("risk_score", INT),
+            ("risk_tier", STRING),
+            ("entity_counts", COUNTS),
+            ("total_entities", INT),
+            ("exposure_level", STRING),
+            ("owner", STRING),
+            ("current_label_name", STRING),
+            ("current_label_id", STRING),
+            ("label_applied_at", TIMESTAMP),
+            ("is_monitored", BOOLEAN),
+            ("needs_rescan", BOOLEAN),
+            ("last_scanned_at", TIMESTAMP),
+            ("discovered_at", TIMESTAMP),
+            ("updated_at", TIMESTAMP),
+            ("scan_count", INT),
+            ("content_changed_count", INT),
+            ("tenant", STRING),
+            ("target", STRING),
+        ),
+        partitions=("tenant", "target",),
+        ordered_by=None,
+    ),
+    "folder_inventory": Table(
+        columns=(
+            ("id", BINARY),
+            ("tenant_id", BINARY),
+            ("target_id", BINARY),
+            ("folder_path", STRING),
+            ("adapter", STRING),
+            ("file_count", INT),
+            ("total_size_bytes", LONG),
+            ("folder_modified", TIMESTAMP),
+            ("last_scanned_at", TIMESTAMP),
+            ("has_sensitive_files", BOOLEAN),
+            ("highest_risk_tier", STRING),
+            ("total_entities_found", INT),
+            ("discovered_at", TIMESTAMP),
+            ("updated_at", TIMESTAMP),
+            ("tenant", STRING),
+            ("target", STRING),
+        ),
+        partitions=("tenant", "target",),
+        ordered_by=None,
+    ),
+    "access_events": Table(
+        columns=(
+            ("id", BINARY),
+            ("tenant_id", BINARY),
+            ("monitored_file_id", BINARY),
+            ("file_path", STRING),
+            ("action", STRING),
+            ("success", BOOLEAN),
+            ("user_name", STRING),
+            ("user_domain", STRING),
+            ("user_sid", STRING),
+            ("process_name", STRING),
+            ("process_id", INT),
+            ("event_source", STRING),
+            ("event_time", TIMESTAMP),
+            ("collected_at", TIMESTAMP),
+            ("tenant", STRING),
+            ("event_date", DATE),
+        ),
+        partitions=("tenant", "event_date",),
+        ordered_by="event_time",
+    ),
+    "audit_log": Table(
+        columns=(
+            ("id", BINARY),
+            ("tenant_id", BINARY),
+            ("user_id", BINARY),
+            ("action", STRING),
+            ("resource_type", STRING),
+            ("resource_id", BINARY),
+            ("details", STRING),
+            ("created_at", TIMESTAMP),
+            ("tenant", STRING),
+            ("log_date", DATE),
+        ),
+        partitions=("tenant", "log_date",),
+        ordered_by="created_at",
+    ),
+    "directory_tree": Table(
+        columns=(
+            ("id", BINARY),
+            ("tenant_id", BINARY),
+            ("target_id", BINARY),
+            ("dir_path", STRING),
+            ("dir_name", STRING),
+            ("parent_id", BINARY),
+            ("dir_ref", LONG),
+            ("parent_ref", LONG),
+            ("sd_hash", BINARY),
+            ("share_id", BINARY),
+            ("dir_modified", TIMESTAMP),
+            ("child_dir_count", INT),
+            ("child_file_count", INT),
+            ("flags", INT),
+            ("discovered_at", TIMESTAMP),
+            ("updated_at", TIMESTAMP),
+            ("tenant", STRING),
+            ("target", STRING),
+        ),
+        partitions=("tenant", "target",),
+        ordered_by=None,
+    ),
+    "remediation_actions": Table(
+        columns=(
+            ("id", BINARY),
+            ("tenant_id", BINARY),
+            ("file_inventory_id", BINARY),
+            ("action_type", STRING),
+            ("status", STRING),
+            ("source_path", STRING),
+            ("dest_path", STRING),
+            ("performed_by", STRING),
+            ("dry_run", BOOLEAN),
+            ("error", STRING),
+            ("created_at", TIMESTAMP),
+            ("completed_at", TIMESTAMP),
+            ("tenant", STRING),
+            ("action_date", DATE),
+        ),
+        partitions=("tenant", "action_date",),
+        ordered_by="created_at",
+    ),
 }
 # --- end of fixed values ---------------------------------------------------------------------------
 COMPACT_AT = 10
@@ -28,11 +202,11 @@ COMPACT_AT = 10
 
 def schema(name: str) -> T.StructType:
     """The table's columns, partition columns last."""
-    return T.StructType([T.StructField(n, _KIND[k]) for k, names in (x.split(":") for x in TABLES[name][0].split()) for n in names.split(",")])
+    return T.StructType([T.StructField(column, kind) for column, kind in TABLES[name].columns])
 
 
 def partitions(name: str) -> tuple[str, ...]:
-    return TABLES[name][1]
+    return TABLES[name].partitions
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:

@@ -190,3 +190,29 @@ def test_storage_options():
     assert lake.storage_options("s3", endpoint="http://x", access_key="a", secret_key="b")["fs.s3a.path.style.access"] == "true"
     with pytest.raises(ValueError):
         lake.storage_options("ftp")
+
+
+@pytest.mark.parametrize("relation", ["`parquet`.`{}`", "parquet/**/.`{}`", "/* x */ `PARQUET` . `{}`", "parquet.`{}`", "`org.apache.spark.sql.parquet`.`{}`"])
+def test_guarded_sql_reads_no_file(spark, relation):
+    from tessera.plans import adhoc
+
+    path = "/root/testdata/sf0.001/nation.parquet"
+    for sql in (f"SELECT count(*) FROM {relation.format(path)}", f"WITH x AS (SELECT * FROM {relation.format(path)}) SELECT (SELECT max(n_nationkey) FROM x)"):
+        with pytest.raises(adhoc.Rejected):
+            adhoc.run_guarded(spark, sql).collect()
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_event_values():
+    """Every operation and bit of the event sources, and accounts of the system."""
+    from tessera.plans import rows
+
+    assert len(rows.OPERATIONS) == 33 and rows.OPERATIONS["FileCopied"] == "read" and rows.OPERATIONS["RemovedFromSecureLink"] == "permission_change"
+    assert {"DWM-2", "DWM-3", "UMFD-1"} <= set(rows.SYSTEM_ACCOUNTS) and {"bin", "sys"} <= set(rows.LINUX_ACCOUNTS)
+    assert rows.CEF_SEVERITY["HIGH"] == 7
+
+
+def test_sentences():
+    text = 'Dr. Smith met J. Doe. He said "Go!" Then they left? Yes. It cost 3.5 etc. and more.'
+    assert [text[a:].split()[0] for a in D.sentences(text)] == ["Dr.", "He", "Then", "Yes.", "It"]
+    assert D.sentences("") == [0]

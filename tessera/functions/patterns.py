@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
+from re import _constants as C
+from re import _parser
 from typing import NamedTuple
 
 from tessera.functions import validators as V
@@ -24,6 +27,97 @@ class Family(NamedTuple):
     patterns: tuple[Pattern, ...]
 
 
+class Needs(NamedTuple):
+    """What every text with a match holds: one of the literals (folded; none: nothing is known), and a run of so many digits."""
+
+    literals: frozenset[str]
+    digits: int
+
+
+_DIGITS = {(C.CATEGORY, C.CATEGORY_DIGIT), (C.RANGE, (48, 57))}
+
+
+def folded(text: str) -> str:
+    """text in one case, as matching without regard to case sees it."""
+    return text.lower().replace("\u0131", "i").replace("\u017f", "s")
+
+
+def _needs(parts: Iterable) -> Needs:
+    """Needs of a parsed sequence: the literals whose shortest is longest, of all its parts; and its longest run of digits."""
+    found: list[frozenset[str]] = []
+    run, digits, most = "", 0, 0
+
+    def end_run() -> None:
+        nonlocal run
+        if run:
+            found.append(frozenset([folded(run)]))
+        run = ""
+
+    for op, arg in parts:
+        if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+            continue  # takes no characters
+        if op is C.LITERAL:
+            run += chr(arg)
+            digits = digits + 1 if chr(arg).isdigit() else 0
+            most = max(most, digits)
+            continue
+        end_run()
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+            least, top, body = arg
+            if len(body) == 1 and body[0][0] is C.IN and set(body[0][1]) <= _DIGITS:
+                most = max(most, digits + least)
+                digits = digits + least if top == least else least
+                continue
+            inner = _needs(body) if least else Needs(frozenset(), 0)
+        elif op is C.IN:
+            inner = Needs(frozenset(), 0)
+            if set(arg) <= _DIGITS:
+                digits += 1
+                most = max(most, digits)
+                continue
+        elif op is C.SUBPATTERN:
+            inner = _needs(arg[3])
+        elif op is C.ATOMIC_GROUP:
+            inner = _needs(arg)
+        elif op is C.BRANCH:
+            each = [_needs(b) for b in arg[1]]
+            inner = Needs(frozenset().union(*(n.literals for n in each)) if all(n.literals for n in each) else frozenset(), min(n.digits for n in each))
+        else:
+            inner = Needs(frozenset(), 0)
+        digits = 0
+        most = max(most, inner.digits)
+        if inner.literals:
+            found.append(inner.literals)
+    end_run()
+    return Needs(max(found, key=lambda x: (min(map(len, x)), -len(x)), default=frozenset()), most)
+
+
+@lru_cache(maxsize=None)
+def needs(regex: re.Pattern) -> Needs:
+    return _needs(_parser.parse(regex.pattern, regex.flags))
+
+
+class Seen:
+    """What a text holds, found out once for all patterns: a pattern runs only over texts that can have a match."""
+
+    def __init__(self, text: str):
+        self.low, self.known = folded(text), {}
+        self.digits = max(map(len, re.findall(r"\d+", text)), default=0)
+
+    def may_match(self, regex: re.Pattern) -> bool:
+        literals, digits = needs(regex)
+        if digits > self.digits:
+            return False
+        if not literals:
+            return True
+        for x in literals:
+            if x not in self.known:
+                self.known[x] = x in self.low
+            if self.known[x]:
+                return True
+        return False
+
+
 def p(kind: str, confidence: float, regex: str, check=None, flags: int = 0) -> Pattern:
     return Pattern(kind, confidence, re.compile(regex, flags), check)
 

@@ -32,10 +32,13 @@ def secret_context(text: str, start: int, end: int) -> bool:
     return any(c in around for c in P.SECRET_CONTEXT)
 
 
-def family_spans(family: P.Family, text: str) -> list[Span]:
+def family_spans(family: P.Family, text: str, seen: P.Seen | None = None) -> list[Span]:
     """Raw spans of one family: per place the first pattern wins, per place and type the surest."""
     best: dict[tuple, Span] = {}
+    seen = seen or P.Seen(text)
     for pattern in family.patterns:
+        if not seen.may_match(pattern.regex):
+            continue
         for m in pattern.regex.finditer(text):
             value, (a, b) = m[1], m.span(1)
             if not value.strip():
@@ -113,9 +116,10 @@ def detect_text(text: str | None, families: Sequence[str] = P.PRESETS["full"], t
     if not text:
         return []
     found: list[Span] = []
+    seen = P.Seen(text)
     for name in families:
         try:
-            found += family_spans(P.FAMILIES[name], text)
+            found += family_spans(P.FAMILIES[name], text, seen)
         except (RecursionError, OverflowError):
             continue
     found = [calibrated(s) for s in found]

@@ -216,3 +216,24 @@ def test_sentences():
     text = 'Dr. Smith met J. Doe. He said "Go!" Then they left? Yes. It cost 3.5 etc. and more.'
     assert [text[a:].split()[0] for a in D.sentences(text)] == ["Dr.", "He", "Then", "Yes.", "It"]
     assert D.sentences("") == [0]
+
+
+def test_no_span_is_lost_to_what_a_pattern_needs():
+    """Whatever a pattern matches has what the pattern is said to need, in any case and with digits of any script."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+    texts += [t.upper() for t in texts[:100]] + [t.replace("i", "\u0131").replace("s", "\u017f").replace("k", "\u212a") for t in texts[:100]]
+    texts += ["SSN 123-45-6789", "\u0660\u0661\u0662-\u0663\u0664-\u0665\u0666\u0667\u0668", "TOP  SECRET", "pa\u017f\u017fport no. AB1234567", "Jane Smith, DDS"]
+    hits = 0
+    for text in texts:
+        seen = patterns.Seen(text)
+        for family in patterns.FAMILIES.values():
+            for x in family.patterns:
+                if x.regex.search(text):
+                    hits += 1
+                    assert seen.may_match(x.regex), (x.regex.pattern, text[:80])
+    assert hits > 100
+    # most patterns need something that can be told before they run
+    told = [patterns.needs(x.regex) for family in patterns.FAMILIES.values() for x in family.patterns]
+    assert sum(bool(n.literals or n.digits) for n in told) > 0.9 * len(told)

@@ -15,8 +15,11 @@ from tessera.session import table
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a query's lake: below the session's shared checkpoint folder, local only without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/tessera"
+    """A folder for a query's lake: below the session's shared checkpoint folder; a local session may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.gettempdir() + "/tessera"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -41,6 +41,22 @@ def exposure_summary(spark, sf_dir):
     return dirs(spark, sf_dir).join(descriptors(spark), "sd_id", "left").groupBy(F.coalesce("exposure", F.lit("UNKNOWN")).alias("exposure")).agg(F.count("*").alias("n"))
 
 
+@query("index_stats", "WITH " + TREE + " SELECT count(*) AS total_dirs, count(p.id) AS with_parent_link, count(c.sd_id) AS with_descriptor FROM dirs c LEFT JOIN dirs p ON c.parent_ref = p.dir_ref AND c.id <> p.id")
+def index_stats(spark, sf_dir):
+    """How far the tree is indexed: directories, those whose parent is known, those with a descriptor."""
+    d = dirs(spark, sf_dir)
+    parents = d.select(F.col("id").alias("parent_id"), F.col("dir_ref").alias("parent_ref"))
+    linked = d.join(parents, (d["parent_ref"] == parents["parent_ref"]) & (d["id"] != parents["parent_id"]), "left")
+    return linked.agg(F.count("*").alias("total_dirs"), F.count("parent_id").alias("with_parent_link"), F.count("sd_id").alias("with_descriptor"))
+
+
+@query("descriptor_stats", "WITH " + TREE + " SELECT count(DISTINCT sd_id) AS unique_sds, count(DISTINCT sd_id) FILTER (exposure = 'PUBLIC') AS world_accessible, count(DISTINCT sd_id) FILTER (exposure = 'ORG_WIDE') AS authenticated_users, count(DISTINCT sd_id) FILTER (exposure = 'INTERNAL') AS custom_acl FROM dirs JOIN sds USING (sd_id)")
+def descriptor_stats(spark, sf_dir):
+    """Descriptors in use, by exposure. Those in use are made distinct first, so the counts need no second one."""
+    used = dirs(spark, sf_dir).select("sd_id").distinct().join(descriptors(spark), "sd_id")
+    return used.agg(F.count("*").alias("unique_sds"), *[n_if(F.col("exposure") == e).alias(n) for e, n in (("PUBLIC", "world_accessible"), ("ORG_WIDE", "authenticated_users"), ("INTERNAL", "custom_acl"))])
+
+
 @query("exposure_unknown_anti", "WITH " + TREE + " SELECT id, dir_path FROM dirs WHERE sd_id IS NULL OR sd_id NOT IN (SELECT sd_id FROM sds)")
 def exposure_unknown_anti(spark, sf_dir):
     return dirs(spark, sf_dir).join(descriptors(spark), "sd_id", "left_anti").select("id", "dir_path")

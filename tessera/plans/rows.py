@@ -346,10 +346,10 @@ def read_cursor(text: str, secret: bytes) -> list:
     return json.loads(raw[16:])
 
 
-@query("rate_limit_window", SQL + "SELECT event_id, count(*) OVER (ORDER BY epoch(event_time)::bigint RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) > 3 AS limited FROM access WHERE user_name = 'user7'")
+@query("rate_limit_window", SQL + "SELECT event_id, count(*) OVER (PARTITION BY user_name ORDER BY epoch(event_time)::bigint RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) > 3 AS limited FROM access")
 def rate_limit_window(spark, sf_dir, most: int = 3):
-    """Events beyond the limit of a sliding minute, for one user."""
-    a = access_events(spark, sf_dir).where("user_name = 'user7'").withColumn("s", F.unix_timestamp("event_time"))
+    """Events beyond a user's limit in a sliding minute."""
+    a = access_events(spark, sf_dir).withColumn("s", F.unix_timestamp("event_time"))
     w = Window.partitionBy("user_name").orderBy("s").rangeBetween(-60, 0)
     return a.select("event_id", (F.count("*").over(w) > most).alias("limited"))
 

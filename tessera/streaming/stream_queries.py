@@ -10,6 +10,8 @@ from tessera.plans.base import SQL, access_events, scan_results
 from tessera.sources.lake_queries import scratch
 from tessera.streaming import streams as S
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+RECURSIVE = SQL.replace("WITH", "WITH RECURSIVE", 1)
 COLUMNS = "event_id long, event_time timestamp, user_name string, action string, success boolean, doc_id long"
 
 
@@ -75,7 +77,11 @@ def scan_trigger_debounce(spark, sf_dir):
     return S.triggers(S.enriched(access_events(spark, sf_dir), m, "doc_id")).select("file_path", "risk_tier", "due", "n")
 
 
-@query("scan_trigger_cooldown")
+#: Greedy by file: the first time, then each first one at least a minute after the last.
+GREEDY = " r AS (SELECT file_path, min(sec) AS sec FROM d GROUP BY 1 UNION ALL SELECT d.file_path, min(d.sec) FROM r JOIN d ON d.file_path = r.file_path AND d.sec >= r.sec + 60 GROUP BY 1)"
+
+
+@query("scan_trigger_cooldown", TRIGGER.replace("WITH", "WITH RECURSIVE", 1) + ", d AS (SELECT file_path, epoch(max(event_time)) + max(gap) AS sec FROM g GROUP BY file_path, risk_tier, burst)," + GREEDY + " SELECT file_path, make_timestamp((sec * 1000000)::bigint) AS due FROM r")
 def scan_trigger_cooldown(spark, sf_dir):
     """Due scans without those within a minute of the file's last one."""
     m = scan_results(spark, sf_dir).select("doc_id", "file_path", "risk_tier")
@@ -90,23 +96,27 @@ def scan_trigger_rate_limit(spark, sf_dir):
     return spark.createDataFrame(got, "name string, seconds double")
 
 
-@query("stream_stateful_cooldown", SQL + """, r AS (SELECT DISTINCT doc_id, floor(epoch(event_time)) AS sec FROM access WHERE doc_id < 20) SELECT doc_id::varchar AS file_path, min(sec)::double AS sec FROM r GROUP BY 1""")
-def stream_stateful_cooldown(spark, sf_dir):
-    """A cooldown longer than the data: each file passes once, at its first event; the state is checkpointed."""
-    at, e = staged(spark, sf_dir, "cooldown")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = e.where("doc_id < 20").select(F.col("doc_id").cast("string").alias("file_path"), F.floor(F.unix_micros("event_time") / 1e6).cast("double").alias("at"))
-    out = keyed.groupBy("file_path").transformWithStateInPandas(S.Cooldown(1e9), "file_path string, at double", "Append", "None")
-    S.drain(out, f"{at}/cp", f"{at}/out")
+def cooled_stream(spark: SparkSession, sf_dir: str, name: str, cooldown: float) -> DataFrame:
+    """Every file's events through the stateful cooldown; the state is checkpointed."""
+    at, e = staged(spark, sf_dir, name)
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        keyed = e.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("file_path"), F.floor(F.unix_micros("event_time") / 1e6).cast("double").alias("at"))
+        out = keyed.groupBy("file_path").transformWithStateInPandas(S.Cooldown(cooldown), "file_path string, at double", "Append", "None")
+        S.drain(out, f"{at}/cp", f"{at}/out")
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     return spark.read.parquet(f"{at}/out").withColumnRenamed("at", "sec")
 
 
-@query("stream_cooldown_all_files")
+@query("stream_stateful_cooldown", SQL + """, r AS (SELECT DISTINCT doc_id, floor(epoch(event_time)) AS sec FROM access) SELECT doc_id::varchar AS file_path, min(sec)::double AS sec FROM r GROUP BY 1""")
+def stream_stateful_cooldown(spark, sf_dir):
+    """A cooldown longer than the data: each file passes once, at its first event."""
+    return cooled_stream(spark, sf_dir, "cooldown", 1e9)
+
+
+@query("stream_cooldown_all_files", RECURSIVE + ", d AS (SELECT DISTINCT doc_id::varchar AS file_path, floor(epoch(event_time))::double AS sec FROM access)," + GREEDY + " SELECT file_path, sec FROM r")
 def stream_cooldown_all_files(spark, sf_dir):
     """Dispatches of every file with the production cooldown: a file passes again once COOLDOWN seconds are over."""
-    at, e = staged(spark, sf_dir, "cooldown_all")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = e.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("file_path"), F.floor(F.unix_micros("event_time") / 1e6).cast("double").alias("at"))
-    out = keyed.groupBy("file_path").transformWithStateInPandas(S.Cooldown(), "file_path string, at double", "Append", "None")
-    S.drain(out, f"{at}/cp", f"{at}/out")
-    return spark.read.parquet(f"{at}/out").withColumnRenamed("at", "sec")
+    return cooled_stream(spark, sf_dir, "cooldown_all", S.COOLDOWN)

@@ -32,6 +32,17 @@ def secret_context(text: str, start: int, end: int) -> bool:
     return any(c in around for c in P.SECRET_CONTEXT)
 
 
+_NO_SSN = re.compile(r"\b(?:" + "|".join(map(re.escape, P.NO_SSN_BEFORE)) + r")\b")
+
+
+def ssn_context(text: str, start: int) -> bool:
+    """Whether what stands before nine bare digits leaves them a social security number: no word that announces
+    another kind of number nearby, and none (not even as a word's end) right before a separator."""
+    before = text[max(0, start - P.NO_SSN_WINDOW) : start].lower()
+    announced = before[-5:].rstrip().endswith(("#", ":", ".", "-")) and before[:-1].strip().endswith(P.NO_SSN_BEFORE)
+    return not announced and _NO_SSN.search(before) is None
+
+
 def family_spans(family: P.Family, text: str, seen: P.Seen | None = None) -> list[Span]:
     """Raw spans of one family: per place the first pattern wins, per place and type the surest."""
     best: dict[tuple, Span] = {}
@@ -50,6 +61,8 @@ def family_spans(family: P.Family, text: str, seen: P.Seen | None = None) -> lis
                     continue
                 # a checksum's own confidence counts; elsewhere passing the check adds a little
                 sure = got if family.name == "checksum" else min(0.99, pattern.confidence + 0.02)
+            if pattern.kind == "SSN" and sure <= P.NO_SSN_SURE and not ssn_context(text, a):
+                continue
             key = (a, b, pattern.kind) if family.name == "pattern" else (a, b)
             old = best.get(key)
             if old is not None and (family.name != "pattern" or old.confidence >= sure):
@@ -103,10 +116,11 @@ def resolve(spans: Iterable[Span], threshold: float = X.THRESHOLD, strategy: str
 
 
 def dedupe_tiered(spans: Iterable[Span]) -> list[Span]:
-    """The tiered pipeline's rule: only identical or contained spans go, partial overlaps stay."""
+    """The tiered pipeline's rule: only identical or contained spans go, partial overlaps stay. Linear after the sort:
+    starts only grow, so a span lies in an earlier one if it ends no later than the farthest end so far."""
     kept: list[Span] = []
     for s in sorted(spans, key=lambda s: (s.start, -(s.end - s.start), -s.tier, -s.confidence, s.detector, s.entity_type)):
-        if not any(k.start <= s.start and s.end <= k.end for k in kept):
+        if not kept or s.end > kept[-1].end:
             kept.append(s)
     return kept
 
@@ -129,10 +143,56 @@ def detect_text(text: str | None, families: Sequence[str] = P.PRESETS["full"], t
 def detect_udf(families: Sequence[str] = P.PRESETS["full"], threshold: float = X.THRESHOLD, strategy: str = "higher_confidence", resolved: bool = True):
     """text -> array<span>, offsets in code points."""
 
+    @F.pandas_udf(f"array<{SPAN}>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [s._asdict() for s in detect_text(t, families, threshold, strategy, resolved)])
 
-    return F.pandas_udf(run, f"array<{SPAN}>", F.PandasUDFType.SCALAR)
+    return run
+
+
+def as_spans(rows) -> list[Span]:
+    """Spans of an array<span> value as pandas gets it."""
+    return [] if rows is None else [Span(**r) for r in rows]
+
+
+def tiered(spans: Column) -> Column:
+    """Raw spans of a document without identical and contained ones."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda rows: [s._asdict() for s in dedupe_tiered(as_spans(rows))])
+
+    return run(spans)
+
+
+def disjoint(spans: Column) -> Column:
+    """Raw spans of a document without overlaps."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda rows: [s._asdict() for s in resolve(as_spans(rows))])
+
+    return run(spans)
+
+
+def with_pronouns(text: Column, spans: Column) -> Column:
+    """A document's spans and those of the pronouns that its names explain."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[s._asdict() for s in coreference(t or "", as_spans(rows))] for t, rows in zip(texts, found)], dtype=object)
+
+    return run(text, spans)
+
+
+def canonical_entities(spans: Column) -> Column:
+    """Canonical entities of a document."""
+
+    @F.pandas_udf("array<struct<canonical:string,entity_type:string,mentions:int>>")
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda rows: resolve_entities(as_spans(rows)))
+
+    return run(spans)
 
 
 def with_spans(df: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -162,10 +222,11 @@ def chunks(text: str, size: int = 4000, overlap: int = 200) -> list[tuple[int, i
 
 
 def chunk_udf(size: int = 4000, overlap: int = 200):
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": a, "end": b, "text": c} for a, b, c in chunks(t or "", size, overlap)])
 
-    return F.pandas_udf(run, "array<struct<start:int,end:int,text:string>>", F.PandasUDFType.SCALAR)
+    return run
 
 
 # --- overlap pairs and positions ----------------------------------------------------------------------

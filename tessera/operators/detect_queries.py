@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +72,10 @@ NUMBERS = (
 
 @query("validators", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {c}::double)" for k, v, c in NUMBERS) + ") t(kind, value, confidence)")
 def validators(spark, sf_dir):
-    def run(kinds, values):
+    @F.pandas_udf("double")
+    def check(kinds: pd.Series, values: pd.Series) -> pd.Series:
         return (kinds + "|" + values).map(lambda x: float(getattr(V, x.split("|")[0])(x.split("|")[1])))
 
-    check = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)
     return spark.createDataFrame([(k, v) for k, v, _ in NUMBERS], "kind string, value string").withColumn("confidence", check("kind", "value"))
 
 
@@ -147,6 +148,58 @@ def entity_resolution(spark, sf_dir):
     return spark.createDataFrame([(g["canonical"], g["entity_type"], g["mentions"]) for g in got], "canonical string, entity_type string, mentions int")
 
 
+def found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Every document with its spans."""
+    return D.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), **options)
+
+
+@query("resolve_documents")
+def resolve_documents(spark, sf_dir):
+    """Raw and resolved spans of every document: what overlap resolution leaves."""
+    d = found(spark, sf_dir, resolved=False).withColumn("kept", D.disjoint(F.col("spans")))
+    return d.select("doc_id", F.size("spans").alias("raw"), F.size("kept").alias("kept")).where("raw > 0")
+
+
+@query("tiered_documents")
+def tiered_documents(spark, sf_dir):
+    """The tiered pipeline over every document: the fast families, spans without contained ones, and whether a slower
+    model should look, with the reason."""
+    d = found(spark, sf_dir, resolved=False).withColumn("kept", D.tiered(F.col("spans")))
+    text = F.coalesce("text", F.lit(""))
+    escalate = D.escalate(F.col("kept"), text)
+    reason = F.when(D.medical(text), "medical_context").when(escalate, "unsure_span")
+    return d.select("doc_id", F.size("spans").alias("raw"), F.size("kept").alias("kept"), escalate.alias("escalate"), reason.alias("reason"))
+
+
+@query("coreference_documents")
+def coreference_documents(spark, sf_dir):
+    """Pronouns of every document that a name before them explains."""
+    d = found(spark, sf_dir).where(F.exists("spans", lambda s: s["entity_type"].startswith("NAME")))
+    s = d.select("doc_id", F.explode(D.with_pronouns(F.col("text"), F.col("spans"))).alias("s")).where("s.detector = 'coref'")
+    return s.select("doc_id", "s.start", F.col("s.text").alias("value"), "s.entity_type")
+
+
+@query("entities_documents")
+def entities_documents(spark, sf_dir):
+    """Canonical entities of every document and how often each is mentioned, coreference included."""
+    d = found(spark, sf_dir).withColumn("spans", D.with_pronouns(F.col("text"), F.col("spans")))
+    return d.select("doc_id", F.explode(D.canonical_entities(F.col("spans"))).alias("e")).select("doc_id", "e.canonical", "e.entity_type", "e.mentions")
+
+
+@query("enhanced_documents")
+def enhanced_documents(spark, sf_dir):
+    """Spans of every document by where the context sends them: kept, or to review."""
+    d = found(spark, sf_dir).withColumn("routed", D.enhance(F.col("spans"), F.col("text")))
+    r = d.select(F.explode("routed").alias("r"))
+    return r.groupBy("r.entity_type", "r.route").agg(F.count("*").alias("n"))
+
+
+@query("medical_documents", "SELECT doc_id, regexp_matches(lower(text), '\\b(?:" + "|".join(D.MEDICAL) + ")\\b') OR regexp_matches(lower(text), '" + D.DRUG_SUFFIX + "') OR regexp_matches(text, '" + D.ICD10 + "') AS medical FROM documents")
+def medical_documents(spark, sf_dir):
+    """Which documents are medical."""
+    return table(spark, sf_dir, "documents").select("doc_id", D.medical(F.col("text")).alias("medical"))
+
+
 @query("medical_context", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true)) t(id, medical)")
 def medical_context(spark, sf_dir):
     d = spark.createDataFrame([(1, "the patient rested"), (2, "the inpatiently bird"), (3, "took amoxicillin"), (4, "code E11.9 noted")], "id int, text string")

@@ -6,6 +6,7 @@ import re
 import uuid
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -401,11 +402,9 @@ def extract_text(name: str, content: bytes | None) -> tuple[str, str | None]:
 def extracted(files: DataFrame) -> DataFrame:
     """Files (path, content) with text and error."""
 
-    def run(names, contents):
-        import pandas as pd
-
+    @F.pandas_udf("text string, error string")
+    def read(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
         got = [extract_text(n, c) for n, c in zip(names, contents)]
         return pd.DataFrame({"text": [t for t, _ in got], "error": [e for _, e in got]})
 
-    read = F.pandas_udf(run, "text string, error string", F.PandasUDFType.SCALAR)
     return files.withColumn("__r", read("path", "content")).select("path", F.col("__r.text").alias("text"), F.col("__r.error").alias("error"))

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.functions import patterns, validators
 from tessera.operators import detect as D
@@ -57,6 +58,34 @@ def test_tiered_dedup_keeps_partial_overlaps():
     assert [(s.start, s.end) for s in got] == [(0, 5), (3, 8)]
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12), st.integers(2, 4)), max_size=12))
+def test_tiered_dedup_equals_all_pairs(items):
+    spans = [span(a, a + n, "NAME", 0.8, t) for a, n, t in items]
+    places = {(s.start, s.end) for s in spans}
+    outer = {p for p in places if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in places)}
+    assert {(s.start, s.end) for s in D.dedupe_tiered(spans)} == outer and len(D.dedupe_tiered(spans)) == len(outer)
+
+
+@pytest.mark.parametrize("text, found", [("his 123456789 is", True), ("order 123456789", False), ("Invoice: 123456789", False), ("#123456789", True), ("amino: 123456789", True), ("amino:123456789", False), ("order " + "x" * 40 + " 123456789", True)])
+def test_bare_ssn_needs_its_context(text, found):
+    got = [s for s in D.detect_text(text, ("pattern",), resolved=False) if s.entity_type == "SSN"]
+    assert bool(got) == found
+
+
+def test_documents_through_the_operators_equal_plain_python(spark):
+    text = "Mr. John Smith came. He took his hat; mail a.b@x.example.com and A.B@x.example.com. Patient MRN: 12345678, card 4111 1111 1111 1111."
+    d = D.with_spans(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string"), resolved=False)
+    d = d.select("doc_id", "text", D.disjoint(F.col("spans")).alias("kept"), D.tiered(F.col("spans")).alias("tiered"))
+    d = d.withColumn("coref", D.with_pronouns(F.col("text"), F.col("kept")))
+    rows = {r.doc_id: r for r in d.withColumn("entities", D.canonical_entities(F.col("coref"))).collect()}
+    raw = D.detect_text(text, resolved=False)
+    assert [D.Span(*s) for s in rows[1].tiered] == D.dedupe_tiered(raw)
+    assert [D.Span(*s) for s in rows[1].kept] == D.resolve(raw)
+    assert [D.Span(*s) for s in rows[1].coref] == D.coreference(text, D.resolve(raw))
+    assert [e.asDict() for e in rows[1].entities] == D.resolve_entities(D.coreference(text, D.resolve(raw)))
+    assert all(rows[i].kept == rows[i].tiered == rows[i].coref == rows[i].entities == [] for i in (2, 3))
+
+
 @given(st.text(alphabet="ab ", max_size=300), st.integers(10, 60))
 def test_chunks_cover(text, size):
     got = D.chunks(text, size, size // 5)

@@ -94,16 +94,16 @@ def tree_parents_by_path(spark, sf_dir):
 @query("tree_depth_recursive", "WITH RECURSIVE " + TREE + ", walk AS (SELECT id, dir_ref, 0 AS depth FROM dirs WHERE parent_ref IS NULL UNION ALL SELECT d.id, d.dir_ref, w.depth + 1 FROM dirs d JOIN walk w ON d.parent_ref = w.dir_ref) SELECT depth, count(*) AS n FROM walk GROUP BY 1")
 def tree_depth_recursive(spark, sf_dir):
     """Directories by depth: a recursive walk over the adjacency list."""
-    dirs(spark, sf_dir).createOrReplaceTempView("__dirs")
-    return spark.sql("""WITH RECURSIVE walk(id, dir_ref, depth) AS (SELECT id, dir_ref, 0 FROM __dirs WHERE parent_ref IS NULL UNION ALL SELECT d.id, d.dir_ref, w.depth + 1 FROM __dirs d JOIN walk w ON d.parent_ref = w.dir_ref)
-      SELECT depth, count(*) AS n FROM walk GROUP BY depth""")
+    # the frames are passed by name, no view of the session is replaced
+    return spark.sql("""WITH RECURSIVE walk(id, dir_ref, depth) AS (SELECT id, dir_ref, 0 FROM {dirs} WHERE parent_ref IS NULL UNION ALL SELECT d.id, d.dir_ref, w.depth + 1 FROM {dirs} d JOIN walk w ON d.parent_ref = w.dir_ref)
+      SELECT depth, count(*) AS n FROM walk GROUP BY depth""", dirs=dirs(spark, sf_dir))
 
 
 @query("monitored_first_match", SQL + """, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY tenant, doc_id) AS rn FROM scan) SELECT a.event_id, m.file_path FROM access a JOIN m ON m.rn = 1 AND a.doc_id % 50 = m.doc_id % 50 WHERE a.action = 'write'""")
 def monitored_first_match(spark, sf_dir):
     """Events joined to the first monitored file of their slot, by tenant."""
-    r = scan_results(spark, sf_dir).withColumn("slot", F.col("doc_id") % 50)
-    first = r.withColumn("rn", F.row_number().over(Window.partitionBy("slot").orderBy("tenant", "doc_id"))).where("rn = 1").select("slot", "file_path")
+    # min_by is partial before its shuffle, so a slot of any size is one row a task
+    first = scan_results(spark, sf_dir).groupBy((F.col("doc_id") % 50).alias("slot")).agg(F.min_by("file_path", F.struct("tenant", "doc_id")).alias("file_path"))
     return access_events(spark, sf_dir).where("action = 'write'").withColumn("slot", F.col("doc_id") % 50).join(first, "slot").select("event_id", "file_path")
 
 

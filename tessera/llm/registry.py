@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, oracles, pii, quality_classifier, quality_rules, sharding, url_filter
+from tessera.llm import bpe, decontaminate, html_extraction, language_id, ngram_jaccard, oracles, packing, pii, quality_classifier, quality_rules, resampling, sharding, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8,
         "op9_quality_rules": quality_rules.op9,
         "op10_html_extraction": html_extraction.op10,
+        "op11_packing": packing.op11,
+        "op12_resampling": resampling.op12,
+        "op13_whitening": whitening.op13,
     }
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker holds as vectors at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 18
@@ -98,3 +99,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def positions(df: DataFrame, order: Sequence[Column], length: str, at: str, name: str) -> DataFrame:
+    """df with `at`: the sum of `length` over all rows before this one in the given order, over the whole table.
+
+    Two passes: ranges of the order are sorted and summed up each in its own task, then every range is moved by
+    the sum of the ranges before it. What the driver reads is one sum for each range, so as many as there are
+    shuffle partitions. The order should tell rows apart (a row's own number last), so that no value fills a range.
+    """
+    from pyspark import TaskContext
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__range", T.IntegerType()), T.StructField(at, T.LongType())])
+    column = df.columns.index(length)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            values = batch.column(column).to_numpy().astype(np.int64)
+            ends = total + np.cumsum(values)
+            total = int(ends[-1]) if len(ends) else total
+            more = [pa.array(np.full(len(values), number, np.int32)), pa.array(ends - values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+
+    ranges = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(summed, schema), name)
+    before, rows = 0, []
+    for r in sorted(ranges.groupBy("__range").agg(F.sum(length).alias("n")).collect(), key=lambda r: r["__range"]):
+        rows.append((r["__range"], before))
+        before += r["n"]
+    moved = df.sparkSession.createDataFrame(rows, "__range int, __before long")
+    return ranges.join(F.broadcast(moved), "__range").withColumn(at, F.col(at) + F.col("__before")).drop("__range", "__before")

@@ -18,6 +18,7 @@ MODULES = (
     "tessera.operators.detect_queries",
     "tessera.sources.lake_queries",
     "tessera.streaming.stream_queries",
+    "tessera.streaming.trigger_queries",
 )
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.manifest import Conflict, Log, Store, Version
+
 BINARY, STRING, INT, LONG, DOUBLE = T.BinaryType(), T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 BOOLEAN, TIMESTAMP, DATE, COUNTS = T.BooleanType(), T.TimestampType(), T.DateType(), T.MapType(T.StringType(), T.IntegerType())
 
@@ -228,37 +230,72 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 class Lake:
-    """Tables below one root, on any filesystem Spark can write."""
+    """Tables below one root, on any filesystem Spark can write. What a table holds is what its newest version names."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.store = Store(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.root)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def log(self, name: str) -> Log:
+        return Log(self.store, name)
 
     def exists(self, name: str) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(self.path(name)))
-
-    def append(self, df: DataFrame, name: str) -> None:
-        """Add rows; their partitions are gathered first, so that a partition gets few files."""
-        keys = partitions(name)
-        conform(df, name).repartition(*keys).write.mode("append").option("compression", "zstd").partitionBy(*keys).parquet(self.path(name))
+        return bool(self.log(name).numbers())
+
+    def _files(self, df: DataFrame, name: str) -> dict[str, int]:
+        """Write rows as files that no version names yet. A partition's rows are gathered, and split again beyond the advised size."""
+        keys, job = partitions(name), uuid.uuid4().hex
+        order = [c for c in (*keys, TABLES[name].ordered_by) if c]
+        side = f"{name}/_staged/{job}"
+        rows = conform(df, name).hint("rebalance", *keys).sortWithinPartitions(*order)
+        rows.write.option("compression", "zstd").partitionBy(*keys).parquet(f"{self.root}/{side}")
+        added = {}
+        for f, size in self.store.files(side).items():
+            folder, _, leaf = f.rpartition("/")
+            target = f"{folder}/{job}-{leaf}"
+            self.store.rename(f"{side}/{f}", f"{name}/{target}")
+            added[target] = size
+        self.store.delete(side)
+        return added
+
+    def append(self, df: DataFrame, name: str, notes: dict[str, str] | None = None) -> None:
+        """Add rows, and notes if given, in one version."""
+        self.log(name).commit(self._files(df, name), notes=notes)
+
+    def append_once(self, df: DataFrame, name: str, stream: str, batch: int) -> bool:
+        """Add a stream's batch unless it was added before; for foreachBatch, which may run one twice."""
+        note = f"stream:{stream}"
+
+        def new(now: Version) -> bool:
+            return batch > int(now.notes.get(note, -1))
+
+        def check(now: Version) -> None:
+            if not new(now):
+                raise Conflict(f"batch {batch} of {stream} is there")
+
+        if not new(self.log(name).read()):
+            return False
+        self.log(name).commit(self._files(df, name), notes={note: str(batch)}, check=check)
+        return True
 
     def snapshot(self, df: DataFrame, name: str) -> None:
         """Replace the partitions that df has rows for, and only these."""
-        keys = partitions(name)
-        conform(df, name).repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(self.path(name))
+        added = self._files(df, name)
+        leaves = {f.rpartition("/")[0] for f in added}
+        self.log(name).commit(added, lambda now: [f for f in now.files if f.rpartition("/")[0] in leaves])
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The table, or one of its versions, by its declared schema; an absent table is empty."""
+        return self._read(name, self.log(name).read(version).files)
 
-    def read(self, name: str) -> DataFrame:
-        """The table, by its declared schema; an absent table is empty."""
+    def _read(self, name: str, files) -> DataFrame:
         s = schema(name)
-        return self.spark.read.schema(s).parquet(self.path(name)) if self.exists(name) else self.spark.createDataFrame([], s)
+        if not files:
+            return self.spark.createDataFrame([], s)
+        return self.spark.read.schema(s).option("basePath", self.path(name)).parquet(*[f"{self.path(name)}/{f}" for f in sorted(files)])
 
     def views(self, tenant: str | None = None) -> None:
         """Temp views of all tables, of one tenant's rows if named."""
@@ -267,7 +304,6 @@ class Lake:
             (df if tenant is None else df.where(F.col("tenant") == tenant)).createOrReplaceTempView(name)
 
     def refresh(self, name: str) -> None:
-        self.spark.catalog.refreshByPath(self.path(name))
         self.read(name).createOrReplaceTempView(name)
 
     def flush_since(self, source: DataFrame, name: str, column: str, after) -> tuple[int, object]:
@@ -278,39 +314,61 @@ class Lake:
             self.append(new.where(F.col(column) <= F.lit(top)), name)
         return n, top if n else after
 
+    def flush(self, source: DataFrame, name: str, column: str) -> int:
+        """Append the source rows beyond the table's own cursor; rows and cursor are one version, so neither is lost or doubled."""
+        note = f"cursor:{column}"
+        before = self.log(name).read().notes.get(note)
+        kind = source.schema[column].dataType
+        new = source if before is None else source.where(F.col(column) > F.lit(before).cast(kind))
+        n, top = new.agg(F.count("*"), F.max(column).cast("string")).first()
+        if n:
+            def check(now: Version) -> None:
+                if now.notes.get(note) != before:
+                    raise Conflict(f"another flush moved the cursor of {name}")
+
+            self.log(name).commit(self._files(new.where(F.col(column) <= F.lit(top).cast(kind)), name), notes={note: top}, check=check)
+        return n
+
     def leaves(self, name: str) -> dict[str, int]:
         """Data files by leaf partition: from the file list, without reading data."""
-        if not self.exists(name):
-            return {}
-        fs, path = self._fs()
-        files, out = fs.listFiles(path(self.path(name)), True), {}
-        while files.hasNext():
-            f = files.next().getPath()
-            if f.getName().endswith(".parquet"):
-                leaf = f.getParent().toString()
-                out[leaf] = out.get(leaf, 0) + 1
+        out: dict[str, int] = {}
+        for f in self.log(name).read().files:
+            leaf = f.rpartition("/")[0]
+            out[leaf] = out.get(leaf, 0) + 1
         return out
 
     def compact(self, name: str, threshold: int = COMPACT_AT) -> list[str]:
-        """Leaf partitions of `threshold` files or more become one sorted file each. The new files are complete before the old ones go."""
-        done, order = [], TABLES[name][2]
-        fs, path = self._fs()
-        for leaf, n in sorted(self.leaves(name).items()):
-            if n < threshold:
-                continue
-            old = [x.getPath() for x in fs.listStatus(path(leaf)) if x.getPath().getName().endswith(".parquet")]
-            data = T.StructType([f for f in schema(name) if f.name not in partitions(name)])
-            df = self.spark.read.schema(data).parquet(*[x.toString() for x in old]).coalesce(1)
-            side = f"{self.root}/_compact-{uuid.uuid4().hex}"
-            (df.sortWithinPartitions(order) if order else df).write.option("compression", "zstd").parquet(side)
-            for x in fs.listStatus(path(side)):
-                if x.getPath().getName().endswith(".parquet"):
-                    fs.rename(x.getPath(), path(f"{leaf}/compact-{x.getPath().getName()}"))
-            for x in old:
-                fs.delete(x, False)
-            fs.delete(path(side), True)
-            done.append(leaf)
-        return done
+        """Leaf partitions of `threshold` files or more are written anew, sorted, in files of the advised size. Readers see the old files or the new ones."""
+        now = self.log(name).read().files
+        dense = sorted(leaf for leaf, n in self.leaves(name).items() if n >= threshold)
+        old = [f for f in now if f.rpartition("/")[0] in set(dense)]
+        if old:
+            self.log(name).commit(self._files(self._read(name, old), name), old)
+        return dense
+
+    def delete_where(self, name: str, condition: Column | str, tries: int = 3) -> int:
+        """Delete the rows for which the condition holds; only files that have such rows are written anew. How many files."""
+        holds = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+        for again in range(tries):
+            now = self.log(name).read().files
+            if not now:
+                return 0
+            # one row per file that is hit
+            hit = {r[0] for r in self._read(name, now).where(holds).select("_metadata.file_name").distinct().collect()}
+            old = [f for f in now if f.rpartition("/")[2] in hit]
+            if not old:
+                return 0
+            try:
+                self.log(name).commit(self._files(self._read(name, old).where(~holds), name), old)
+                return len(old)
+            except Conflict:
+                if again == tries - 1:
+                    raise
+        return 0
+
+    def vacuum(self, name: str, keep: int = 1, older_ms: int = 7 * 86_400_000) -> list[str]:
+        """Delete files that none of the last versions names; older ones only, since a job may be about to commit its own."""
+        return self.log(name).vacuum(keep, older_ms)
 
 
 def storage_options(kind: str, **k: str) -> dict[str, str]:

@@ -67,28 +67,6 @@ def dispatched(due: DataFrame, key: str = "file_path", cooldown: float = COOLDOW
     return due.groupBy(key).applyInPandas(run, due.schema)
 
 
-def rate_limited(items: list[tuple[float, int, str]], most: int = RATE, seconds: float = RATE_SECONDS, retry: float = RETRY) -> list[tuple[str, float]]:
-    """(due, tier ordinal, name) -> (name, time): at most `most` in any window, higher tiers first, the others wait `retry` seconds."""
-    import heapq
-
-    todo = [(due, -tier, name) for due, tier, name in items]
-    heapq.heapify(todo)
-    sent: list[float] = []
-    out = []
-    while todo:
-        now = todo[0][0]
-        batch = []
-        while todo and todo[0][0] <= now:
-            batch.append(heapq.heappop(todo))
-        for due, rank, name in sorted(batch, key=lambda x: (x[1], x[2])):
-            if sum(now - s < seconds for s in sent) < most:
-                sent.append(now)
-                out.append((name, now))
-            else:
-                heapq.heappush(todo, (now + retry, rank, name))
-    return out
-
-
 def windowed(events: DataFrame, time: str = "event_time", size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ("action",)) -> DataFrame:
     """Counts by window; slide makes the windows overlap, events later than the watermark are dropped."""
     w = F.window(time, size, slide) if slide else F.window(time, size)

@@ -13,8 +13,8 @@ Targets are weights by source; a source without one weighs its share of all toke
 the whole corpus fills every window, and all queues run dry together. What is left at the end is cut into
 sequences whose lengths are powers of two, so nothing is padded.
 
-A document is encoded once; ids are written to the shared folder, positions are found on lengths alone, and the ids
-are cut once their cuts are known.
+A document is encoded once; ids are written to the shared folder (two bytes each where the vocabulary allows it),
+positions are found on lengths alone, and the ids are cut once their cuts are known.
 
 Nulls and edge cases: a null or empty text is the end token alone; a null source is a queue of its own; null ids and
 repeated rows are documents like others (a row's own number tells them apart); an empty table gives no piece; other
@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,25 +69,50 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def encoded(df: DataFrame, key: str, source: str, text: str, path: str | None, end: int) -> DataFrame:
-    """__row, key, source, __n and __ids (little-endian, 4 bytes each) of every document, written once."""
-    import numpy as np
+def id_type(path: str | None, end: int) -> str:
+    """The narrowest type for ids in storage."""
+    return "<u2" if max(encoder(path or default_path()).max_token_value, end) < 1 << 16 else "<u4"
 
+
+def encoded(df: DataFrame, key: str, source: str, text: str, path: str | None, end: int, kind: str) -> DataFrame:
+    """__row, key, source, __n and __ids (of type `kind`) of every document, written once."""
     schema = T.StructType([T.StructField("__key", df.schema[key].dataType), T.StructField("__source", T.StringType()), T.StructField("__n", T.LongType()), T.StructField("__ids", T.BinaryType())])
-    last = np.array([end], "<u4").tobytes()
+    last, width = np.array([end], kind).tobytes(), np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path or default_path())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() + last if t else last for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+                ids = [coder.encode_to_numpy(t, allowed_special="all").astype(kind).tobytes() + last if t else last for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
     docs = df.select(F.col(key).alias("__key"), F.col(source).cast("string").alias("__source"), F.col(text).alias("__text"))
     return stored(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "packing-ids")
 
 
+def cut_ids(docs: DataFrame, kind: str) -> DataFrame:
+    """One row per piece of (__key, __source, __n, __ids, pieces): its columns and its ids, 4 bytes each."""
+    names = ("start", "length", "sequence_id", "offset")
+    schema = T.StructType([docs.schema[c] for c in ("__key", "__source", "__n")] + [T.StructField(c, T.LongType()) for c in names] + [T.StructField("ids", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                lists = part.column(4)
+                flat, ends = lists.flatten(), lists.offsets.to_numpy()
+                ends = ends - ends[0]
+                rows = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                start, length = (flat.field(c).to_numpy() for c in ("start", "length"))
+                wide = [np.frombuffer(b, kind).astype("<u4").tobytes() for b in part.column(3).to_pylist()]
+                ids = [wide[r][4 * a : 4 * (a + n)] for r, a, n in zip(rows.tolist(), start.tolist(), length.tolist())]
+                columns = [part.column(i).take(pa.array(rows)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, *[flat.field(c) for c in names], pa.array(ids, pa.binary())], names=schema.names)
+
+    return docs.select("__key", "__source", "__n", "__ids", "pieces").mapInArrow(run, schema)
+
+
 def credits(queues: DataFrame, total: int, targets: Mapping[str, float] | None, window: int) -> DataFrame:
     """queues with __credit: tokens that each earns in a round."""
     weight = F.col("__tokens") / F.lit(float(max(total, 1)))
@@ -107,7 +133,8 @@ def pack(
 
     path: of the vocabulary's file, the same on every executor; None: the public 50k byte vocabulary.
     """
-    docs = encoded(df, key, source, text, path, end)
+    kind = id_type(path, end)
+    docs = encoded(df, key, source, text, path, end, kind)
     lengths = docs.select("__row", "__n", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("")).alias("__queue"), F.xxhash64(F.lit(seed), F.col("__key").cast("string")).alias("__mix"))
     lengths = positions(lengths, [F.col("__queue"), F.col("__mix"), F.col("__row")], "__n", "__at", "packing-queues").drop("__mix")
     counted = stored(lengths.groupBy("__queue").agg(F.min("__at").alias("__begin"), F.sum("__n").alias("__tokens"), F.count("*").alias("__docs")), "packing-sources")
@@ -145,9 +172,8 @@ def pack(
         f" 'offset', a - greatest(a div {window} * {window}, coalesce(array_max(filter({bounds}, x -> x <= a)), 0L)))")
     # a document's pieces are as many as its length allows
     placed = pieces.select("__row", place.alias("p")).groupBy("__row").agg(F.collect_list("p").alias("pieces"))
-    cut = F.expr("transform(pieces, p -> named_struct('start', p.start, 'length', p.length, 'ids', substring(__ids, cast(4 * p.start + 1 as int), cast(4 * p.length as int)), 'sequence_id', p.sequence_id, 'offset', p.offset))")
-    out = docs.join(placed, "__row").select(F.col("__key").alias(key), F.col("__source").alias(source), F.col("__n").alias("doc_tokens"), F.inline(cut))
-    return out.select(key, source, "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    out = cut_ids(docs.join(placed, "__row"), kind)
+    return out.select(F.col("__key").alias(key), F.col("__source").alias(source), "start", "length", "ids", F.col("__n").alias("doc_tokens"), "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

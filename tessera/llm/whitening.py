@@ -1,9 +1,10 @@
 """Whitening of embeddings: upper-triangle column aggregates.
 
 Every entry becomes an integer step of 1/256. The fit list is each distinct vector once. One aggregation gives the
-sums S of all dimensions; a second, generated as one expression for each pair of dimensions i <= j, sums the products of
-centred columns; the driver assembles the covariance from that one row (d (d + 1) / 2 numbers) and decomposes it with
-LAPACK. Vectors of every row are then projected in batches. The identity error is measured on the fit list's
+sums S of all dimensions; a second sums the products of centred columns for every pair of dimensions i <= j. Its
+expressions are generated for a tile of TILE x TILE pairs and grouped by the tiles of the upper triangle, so that one
+aggregation holds all pairs while its code stays small, whatever the number of dimensions. The driver assembles the
+covariance from one row per tile (some d * d / 2 numbers) and decomposes it with LAPACK. Vectors of every row are then projected in batches. The identity error is measured on the fit list's
 projected vectors, not derived.
 
 Nulls and edge cases: a vector that is null or holds null or non-finite entries is dropped, and so is an empty one and
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import stored, table
 
-#: Components returned; steps to the unit; rows of one numpy pass.
-COMPONENTS, STEPS, ROWS = 4, 256, 4096
+#: Components returned; steps to the unit; rows of one numpy pass; dimensions along a tile's side.
+COMPONENTS, STEPS, ROWS, TILE = 4, 256, 4096, 8
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, steps: int = STEPS) -> DataFrame:
@@ -44,13 +45,19 @@ def moments(fit: DataFrame, d: int) -> tuple[int, list[int], np.ndarray]:
     """Rows of the fit list, exact sums of its dimensions, and its covariance (divisor n)."""
     first = fit.agg(F.count("*"), *[F.sum(F.col("x")[i].cast("decimal(20,0)")) for i in range(d)]).first()
     n, sums = first[0], [int(s or 0) for s in first[1:]]
-    centred = fit.select(*[(F.col("x")[i].cast("double") - F.lit(sums[i] / max(n, 1))).alias(f"c{i}") for i in range(d)])
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = centred.agg(*[F.expr(f"sum(c{i} * c{j})") for i, j in pairs]).first()
-    v = np.zeros((d, d))
-    for (i, j), s in zip(pairs, row):
-        v[i, j] = v[j, i] = (s or 0.0) / max(n, 1)
-    return n, sums, v
+    sides, mean = range(-(-d // TILE)), [s / max(n, 1) for s in sums]
+    entry = lambda i: F.col("x")[i].cast("double") - F.lit(mean[i]) if i < d else F.lit(0.0)
+    centred = fit.select(F.array(*[entry(i) for i in range(TILE * len(sides))]).alias("c"))
+    tiles = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in sides for j in sides if i <= j])
+    tiled = centred.select("c", F.explode(tiles).alias("t"))
+    side = lambda name, of: [F.expr(f"c[{TILE} * t.{of} + {k}]").alias(f"{name}{k}") for k in range(TILE)]
+    tiled = tiled.select("t.i", "t.j", *side("a", "i"), *side("b", "j"))
+    v = np.zeros((TILE * len(sides), TILE * len(sides)))
+    for r in tiled.groupBy("i", "j").agg(*[F.expr(f"sum(a{k} * b{m})") for k in range(TILE) for m in range(TILE)]).collect():
+        block = np.array(r[2:], float).reshape(TILE, TILE) / max(n, 1)
+        v[TILE * r.i : TILE * r.i + TILE, TILE * r.j : TILE * r.j + TILE] = block
+        v[TILE * r.j : TILE * r.j + TILE, TILE * r.i : TILE * r.i + TILE] = block.T
+    return n, sums, v[:d, :d]
 
 
 def decomposed(v: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:

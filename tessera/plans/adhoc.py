@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.catalogue import query
-from tessera.plans.base import SQL, access_events, scan_results
+from tessera.plans.base import SQL, access_events, files, scan_results
 from tessera.session import table
 
 MAX_QUERY, MAX_ROWS, DEFAULT_ROWS, TIMEOUT = 10_000, 10_000, 1_000, 30.0
@@ -93,10 +94,12 @@ def bind_tenant(sql: str) -> str:
 
 def tenant_views(spark: SparkSession, sf_dir: str, tenant: str | None) -> None:
     """Views that hold one tenant's rows only: isolation does not depend on the query."""
-    r = scan_results(spark, sf_dir)
-    r = r if tenant is None else r.where(r.tenant == tenant)
+    r, a = scan_results(spark, sf_dir), access_events(spark, sf_dir)
+    if tenant is not None:
+        own = files(spark, sf_dir).where(F.col("tenant") == tenant).select("doc_id")
+        r, a = r.where(r.tenant == tenant), a.join(own, "doc_id", "left_semi")  # an event belongs to its file's tenant
     r.createOrReplaceTempView("scan_results")
-    access_events(spark, sf_dir).createOrReplaceTempView("access_events")
+    a.createOrReplaceTempView("access_events")
     for t in ("lineitem", "orders", "customer", "nation", "part"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
 
@@ -141,6 +144,7 @@ def describe(spark: SparkSession, names: tuple[str, ...] = ("scan_results", "acc
 #: name -> (Spark SQL, DuckDB SQL or None where the text is the same)
 CASES: dict[str, tuple[str, str | None]] = {
     "adhoc_tenant_filter": ("SELECT file_path, risk_score FROM scan_results WHERE tenant = $1 AND risk_score > 30", SQL + "SELECT file_path, risk_score FROM scan WHERE tenant = 'en' AND risk_score > 30"),
+    "adhoc_tenant_events": ("SELECT event_id, action FROM access_events WHERE $1 = 'en'", SQL + "SELECT event_id, action FROM access WHERE doc_id IN (SELECT doc_id FROM files WHERE tenant = 'en')"),
     "adhoc_grouping_sets": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", None),
     "adhoc_rollup": ("SELECT l_returnflag, l_shipdate_year, sum(l_quantity) AS q FROM (SELECT l_returnflag, cast(year(l_shipdate) AS bigint) AS l_shipdate_year, l_quantity FROM lineitem) t GROUP BY ROLLUP (l_returnflag, l_shipdate_year)", None),
     "adhoc_cube": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),

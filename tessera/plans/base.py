@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.session import table
+from tessera.session import shared_place, spread, table
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+[0-9][ ().0-9-]{8,}[0-9]"
@@ -14,9 +17,42 @@ IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 NOW = "2024-01-31 00:00:00"
 
 
+_kept: dict[tuple, str] = {}
+_keeping = threading.Lock()
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: what tells whether it has changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, out = fs.listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], derive: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written to the engine's shared folder once for the state its sources are in, and read from there.
+
+    Scans write what they find once; dashboards, policies and exports read columns of it and no text.
+    """
+    state = tuple(fingerprint(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in sources)
+    key = (spark.sparkContext.applicationId, name, state)
+    with _keeping:
+        if key not in _kept:
+            path = shared_place(spark, name)
+            derive().write.parquet(path)
+            _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a scanned file: path, exposure, owner, dates, counts of each entity."""
-    d = table(spark, sf_dir, "documents")
+    """Every document as a scanned file: path, exposure, owner, dates, counts of each entity. Scanned once, see `kept`."""
+    return kept(spark, sf_dir, "files", ("documents",), lambda: scanned(spread(table(spark, sf_dir, "documents"))))
+
+
+def scanned(d: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     # cheap tests first: most documents have none of these
     count = lambda test, pattern: F.when(test, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).otherwise(0)

@@ -35,6 +35,8 @@ class Pack:
     regions: tuple[str, ...] = ()
     priority: int = 50
     tags: tuple[str, ...] = field(default=())
+    allowed: tuple[str, ...] = ()
+    prohibited: tuple[str, ...] = ()
 
 
 # --- fixed values: the built-in packs ----------------------------------------------------------------
@@ -80,7 +82,8 @@ def from_dict(spec: dict) -> Pack:
     keep, hold = spec.get("retention", {}), spec.get("handling", {})
     return Pack(
         spec["name"], spec.get("category", "custom"), spec.get("risk_level", "medium"), trigger(spec.get("triggers", {})), trigger(spec["special_category_triggers"]) if spec.get("special_category_triggers") else None,
-        tuple(k for k, v in hold.items() if v), keep.get("min_days"), keep.get("max_days"), keep.get("review_frequency_days"), tuple(k for k, v in spec.get("data_subject_rights", {}).items() if v), tuple(spec.get("jurisdictions", ())), int(spec.get("priority", 50)), tuple(spec.get("tags", ())))
+        tuple(k for k, v in hold.items() if v is True), keep.get("min_days"), keep.get("max_days"), keep.get("review_frequency_days"), tuple(k for k, v in spec.get("data_subject_rights", {}).items() if v), tuple(spec.get("jurisdictions", ())), int(spec.get("priority", 50)), tuple(spec.get("tags", ())),
+        tuple(hold.get("geographic_restrictions") or ()), tuple(hold.get("prohibited_regions") or ()))
 
 
 def load_yaml(text: str) -> list[Pack]:
@@ -153,7 +156,11 @@ def merged(evaluated: DataFrame, packs=PACKS) -> DataFrame:
     flags = sorted({h for p in packs for h in p.handling})
     rights = sorted({r for p in packs for r in p.rights})
     regions = F.array_sort(F.array_distinct(F.flatten(F.filter(F.array(*[F.when(has(p), _strings(p.regions)) for p in packs]), lambda x: x.isNotNull()))))
-    cols = [F.element_at(F.array(*map(F.lit, RISK)), level).alias("risk_level"), regions.alias("regions"), least(lambda p: p.min_days, "max").alias("min_days"), least(lambda p: p.max_days, "min").alias("max_days"), least(lambda p: p.review_days, "min").alias("review_days")]
+    listed = lambda f: F.filter(F.array(*[F.when(has(p), _strings(f(p))) for p in in_order(packs) if f(p)] or [F.lit(None).cast("array<string>")]), lambda x: x.isNotNull())
+    # regions that are allowed: what all lists share, by priority; a list that follows an empty intersection starts anew
+    allowed = F.aggregate(listed(lambda p: p.allowed), _strings(()), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.array_intersect(a, x)), lambda a: F.array_sort(a))
+    prohibited = F.array_sort(F.array_distinct(F.flatten(listed(lambda p: p.prohibited))))
+    cols = [F.element_at(F.array(*map(F.lit, RISK)), level).alias("risk_level"), regions.alias("regions"), allowed.alias("allowed_regions"), prohibited.alias("prohibited_regions"), least(lambda p: p.min_days, "max").alias("min_days"), least(lambda p: p.max_days, "min").alias("max_days"), least(lambda p: p.review_days, "min").alias("review_days")]
     cols += [some([p for p in packs if h in p.handling]).alias(h) for h in flags] + [some([p for p in packs if r in p.rights]).alias(f"right_{r}") for r in rights]
     framework = lambda f: F.exists("applied", lambda x: x["framework"] == f)
     cols += [framework("hipaa").alias("has_phi"), framework("pii").alias("has_pii"), framework("pci_dss").alias("has_pci"), framework("gdpr").alias("has_gdpr")]

@@ -41,6 +41,23 @@ def policy_merge(spark, sf_dir):
     return m.select("doc_id", "risk_level", "min_days", "max_days", "review_days", "has_pci", "has_gdpr", "masking_required", "right_erasure")
 
 
+REGION_PACKS = (
+    P.Pack("mail", "custom", "low", P.Trigger(("email",)), allowed=("EU", "UK", "US"), prohibited=("RU",), priority=90),
+    P.Pack("phones", "custom", "low", P.Trigger(("phone",)), allowed=("UK", "US"), prohibited=("KP", "RU"), priority=80),
+    P.Pack("addresses", "custom", "low", P.Trigger(("ip_address",)), allowed=("EU", "UK"), priority=70),
+    P.Pack("cards", "custom", "low", P.Trigger(("credit_card",)), allowed=("JP",), priority=60),
+)
+
+
+@query("policy_regions", SQL + """, l AS (SELECT *, n_email + n_phone + n_ip AS others, [x for x in ['EU', 'UK', 'US'] if (n_phone = 0 or x <> 'EU') and (n_ip = 0 or x <> 'US')] AS shared FROM scan)
+SELECT doc_id, array_to_string(case when n_card > 0 and others > 0 then [] when n_card > 0 then ['JP'] else shared end, ',') AS allowed,
+  array_to_string(case when n_phone > 0 then ['KP', 'RU'] when n_email > 0 then ['RU'] else [] end, ',') AS prohibited FROM l""")
+def policy_regions(spark, sf_dir):
+    """Regions that all packs that apply allow, and those that any of them prohibits."""
+    m = P.merged(P.evaluate(contexts(spark, sf_dir), REGION_PACKS).where(F.size("applied") > 0), REGION_PACKS)
+    return m.select("doc_id", F.array_join("allowed_regions", ",").alias("allowed"), F.array_join("prohibited_regions", ",").alias("prohibited"))
+
+
 @query("policy_packs", "SELECT name, risk, priority::int AS priority FROM (VALUES " + ", ".join(f"('{p.name}', '{p.risk}', {p.priority})" for p in P.PACKS) + ") t(name, risk, priority)")
 def policy_packs(spark, sf_dir):
     return spark.createDataFrame([(p.name, p.risk, p.priority) for p in P.in_order()], "name string, risk string, priority int")

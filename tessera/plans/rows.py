@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import taxonomy as X
 from tessera.catalogue import query
-from tessera.plans.base import NOW, SQL, access_events, files, scan_results
+from tessera.plans.base import EMAIL, NOW, SQL, access_events, files, scan_results
 from tessera.plans.dashboard import JOBS, jobs, with_violations
 from tessera.session import table
 
@@ -379,6 +379,23 @@ def redact_audit(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), redacted(F.col("c_name")).alias("redacted"))
 
 
+#: Fixed value: values of one file that an audit shows.
+AUDITED = 10
+
+
+def audited(values: Column, kind: str) -> Column:
+    """Redacted values for the audit, with their type; the first ones only."""
+    return F.slice(F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), redacted(v))), 1, AUDITED)
+
+
+@query("redact_matches", rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS v FROM documents)
+SELECT doc_id, array_to_string(list_transform(v[1:10], lambda x: 'EMAIL:' || left(x, 2) || repeat('*', length(x) - 4) || right(x, 2)), ',') AS shown, len(v) AS n FROM m WHERE len(v) > 0""")
+def redact_matches(spark, sf_dir):
+    """What the audit of a file shows of its addresses: ten at most, redacted."""
+    found = table(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)).alias("v"))
+    return found.where(F.size("v") > 0).select("doc_id", F.array_join(audited(F.col("v"), "EMAIL"), ",").alias("shown"), F.size("v").cast("long").alias("n"))
+
+
 def redacted(value: Column) -> Column:
     """First and last two characters, stars between."""
     n = F.length(value)
@@ -400,17 +417,25 @@ def cef_header(c: Column) -> Column:
 
 
 def cef_value(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("="), F.lit("\\=")), F.lit("\n"), F.lit("\\n"))
+    """A value of the extension: backslash, equals sign, bar and line end escaped."""
+    for plain, escaped in (("\\", "\\\\"), ("=", "\\="), ("|", "\\|"), ("\n", "\\n")):
+        c = F.replace(c, F.lit(plain), F.lit(escaped))
+    return c
+
+
+def severity() -> Column:
+    """Severity of a row's tier; the least for a tier that is null or unknown."""
+    return F.coalesce(X.literal_map(CEF_SEVERITY)[F.upper("risk_tier")], F.lit(1)).cast("string")
 
 
 def cef(df: DataFrame) -> Column:
-    head = F.concat_ws("|", F.lit("CEF:0"), F.lit("Tessera"), F.lit("Scanner"), F.lit("1.0"), F.lit("scan_result"), cef_header(F.col("risk_tier")), X.literal_map(CEF_SEVERITY)[F.col("risk_tier")].cast("string"))
+    head = F.concat_ws("|", F.lit("CEF:0"), F.lit("Tessera"), F.lit("Scanner"), F.lit("1.0"), F.lit("scan_result"), cef_header(F.coalesce("risk_tier", F.lit("MINIMAL"))), severity())
     ext = F.concat_ws(" ", F.concat(F.lit("fname="), cef_value(F.col("file_path"))), F.concat(F.lit("cn1="), F.col("risk_score").cast("string")), F.concat(F.lit("cn2="), F.col("total_entities").cast("string")))
     return F.concat(head, F.lit("|"), ext)
 
 
 def leef(df: DataFrame) -> Column:
-    pairs = [F.concat(F.lit(f"{k}="), c) for k, c in (("resource", F.col("file_path")), ("sev", X.literal_map(CEF_SEVERITY)[F.col("risk_tier")].cast("string")), ("riskScore", F.col("risk_score").cast("string")))]
+    pairs = [F.concat(F.lit(f"{k}="), c) for k, c in (("resource", F.col("file_path")), ("sev", severity()), ("riskScore", F.col("risk_score").cast("string")))]
     return F.concat(F.lit("LEEF:2.0|Tessera|Scanner|1.0|scan_result|"), F.concat_ws("\t", *pairs))
 
 
@@ -431,7 +456,7 @@ def sentinel(df: DataFrame) -> Column:
 
 def syslog(df: DataFrame) -> Column:
     """CEF in a syslog frame: facility local0, severity from the tier."""
-    level = X.literal_map({"CRITICAL": 2, "HIGH": 3, "MEDIUM": 4, "LOW": 5, "MINIMAL": 6})[F.col("risk_tier")]
+    level = F.coalesce(X.literal_map({"CRITICAL": 2, "HIGH": 3, "MEDIUM": 4, "LOW": 5, "MINIMAL": 6})[F.col("risk_tier")], F.lit(6))
     return F.concat(F.lit("<"), (F.lit(16 * 8) + level).cast("string"), F.lit(">1 "), F.date_format("scan_date", "yyyy-MM-dd'T'00:00:00'Z'"), F.lit(" tessera scanner - - - "), cef(df))
 
 
@@ -445,6 +470,19 @@ def export_cef(spark, sf_dir):
     return r.select("doc_id", cef(r).alias("line"))
 
 
+_ODD = "(SELECT * REPLACE (file_path || '|a=b' || chr(10) || chr(92) || 'c' AS file_path, case when doc_id % 3 = 0 then NULL else risk_tier end AS risk_tier) FROM scan)"
+_VALUE = "file_path"
+for _plain, _escaped in (("chr(92)", "chr(92) || chr(92)"), ("'='", "chr(92) || '='"), ("'|'", "chr(92) || '|'"), ("chr(10)", "chr(92) || 'n'")):
+    _VALUE = f"replace({_VALUE}, {_plain}, {_escaped})"
+
+
+@query("export_cef_escaped", SQL + f"SELECT doc_id, 'CEF:0|Tessera|Scanner|1.0|scan_result|' || coalesce(risk_tier, 'MINIMAL') || '|' || {_SEV} || '|fname=' || {_VALUE} || ' cn1=' || risk_score || ' cn2=' || total_entities AS line FROM {_ODD}")
+def export_cef_escaped(spark, sf_dir):
+    """Paths with every sign that is escaped, and rows without a tier."""
+    r = scan_results(spark, sf_dir).withColumn("file_path", F.concat("file_path", F.lit("|a=b\n\\c"))).withColumn("risk_tier", F.when(F.col("doc_id") % 3 != 0, F.col("risk_tier")))
+    return r.select("doc_id", cef(r).alias("line"))
+
+
 @query("export_leef", SQL + f"SELECT doc_id, 'LEEF:2.0|Tessera|Scanner|1.0|scan_result|resource=' || file_path || chr(9) || 'sev=' || {_SEV} || chr(9) || 'riskScore=' || risk_score AS line FROM scan")
 def export_leef(spark, sf_dir):
     r = scan_results(spark, sf_dir)

@@ -23,3 +23,21 @@ def local_session(cpus: int | str = "*", app: str = "tessera") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; any filesystem Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of the engine: below the session's shared checkpoint folder; a local session may do without one."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.gettempdir() + "/tessera"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a scan of fewer splits than there are cores (few row groups) is dealt anew, a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import query
 from tessera.plans.base import SQL, access_events, scan_results
 from tessera.sources.lake import COMPACT_AT, Lake, extract_text, extracted
+from tessera.session import shared_place as scratch
 from tessera.session import table
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a query's lake: below the session's shared checkpoint folder; a local session may do without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or tempfile.gettempdir() + "/tessera"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scan_results(spark, sf_dir)
     return r.select("file_path", "file_name", "file_size", "risk_score", "risk_tier", "content_score", "exposure_multiplier", "exposure_level", "owner", "entity_counts", "total_entities", "label_applied", F.col("scan_date").cast("timestamp").alias("scanned_at"), "tenant", F.col("source").alias("target"), "scan_date", F.md5("file_path").alias("id"))

@@ -17,6 +17,7 @@ MODULES = (
     "tessera.plans.filter_queries",
     "tessera.operators.detect_queries",
     "tessera.sources.lake_queries",
+    "tessera.sources.source_queries",
     "tessera.streaming.stream_queries",
     "tessera.streaming.trigger_queries",
 )

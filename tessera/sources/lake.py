@@ -329,6 +329,11 @@ class Lake:
             self.log(name).commit(self._files(new.where(F.col(column) <= F.lit(top).cast(kind)), name), notes={note: top}, check=check)
         return n
 
+    def rebuild(self, tables: dict[str, DataFrame]) -> None:
+        """Export whole tables anew: each becomes what its DataFrame holds, in one version."""
+        for name, df in tables.items():
+            self.log(name).commit(self._files(df, name), lambda now: list(now.files))
+
     def leaves(self, name: str) -> dict[str, int]:
         """Data files by leaf partition: from the file list, without reading data."""
         out: dict[str, int] = {}

@@ -53,16 +53,17 @@ def lake_incremental_flush(spark, sf_dir):
     return lake.read("access_events").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("events")).withColumn("again", F.lit(again).cast("long"))
 
 
-@query("lake_compaction", SQL + "SELECT count(*) AS n, sum(risk_score)::bigint AS s, 1::bigint AS files FROM scan")
+@query("lake_compaction", SQL + f"SELECT {COMPACT_AT} * count(*) AS n, ({COMPACT_AT} * sum(risk_score))::bigint AS s, {COMPACT_AT}::bigint AS before, 1::bigint AS after FROM scan")
 def lake_compaction(spark, sf_dir):
     """The small files of a partition become one; its rows stay."""
     lake = Lake(spark, scratch(spark, "compaction"))
     r = results(spark, sf_dir).withColumn("tenant", F.lit("all")).withColumn("target", F.lit("x")).withColumn("scan_date", F.lit("2024-01-01").cast("date"))
-    for i in range(COMPACT_AT):
-        lake.append(r.where(F.pmod(F.xxhash64("file_path"), F.lit(COMPACT_AT)) == i), "scan_results")
-    lake.compact("scan_results", threshold=5)
-    files = max(lake.leaves("scan_results").values())
-    return lake.read("scan_results").agg(F.count("*").alias("n"), F.sum("risk_score").alias("s")).withColumn("files", F.lit(files).cast("long"))
+    for _ in range(COMPACT_AT):
+        lake.append(r.coalesce(1), "scan_results")
+    before = max(lake.leaves("scan_results").values())
+    lake.compact("scan_results")
+    after = max(lake.leaves("scan_results").values())
+    return lake.read("scan_results").agg(F.count("*").alias("n"), F.sum("risk_score").alias("s")).select("n", "s", F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"))
 
 
 @query("lake_empty_views", "SELECT 0::bigint AS results, 0::bigint AS events")

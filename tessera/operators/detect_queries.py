@@ -11,7 +11,7 @@ from tessera.catalogue import query
 from tessera.functions import scoring
 from tessera.functions import validators as V
 from tessera.operators import detect as D
-from tessera.session import table
+from tessera.session import spread, table
 
 #: Samples of every family with what must be found: (id, text, ((type, value), ...)).
 SAMPLES = (
@@ -40,7 +40,7 @@ def detect_samples(spark, sf_dir):
 @query("detect_documents")
 def detect_documents(spark, sf_dir):
     """Every document through all families: counts by type and family, on whole texts."""
-    s = D.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("spans").alias("s"))
+    s = D.with_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.explode("spans").alias("s"))
     return s.groupBy(F.col("s.detector").alias("family"), X.normalized(F.col("s.entity_type")).alias("entity_type")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
@@ -55,7 +55,7 @@ def detect_email_counts(spark, sf_dir):
 @query("document_pipeline")
 def document_pipeline(spark, sf_dir):
     """Detect, count, score, decide on escalation: one pass, no shuffle."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = D.with_spans(d).withColumn("entity_counts", D.entity_counts(F.col("spans")))
     exposure = F.element_at(F.array(*map(F.lit, X.EXPOSURES)), (F.col("doc_id") % 4 + 1).cast("int"))
     return s.where(F.size("spans") > 0).select("doc_id", F.slice("spans", 1, 50).alias("findings"), "entity_counts", *scoring.score_columns(F.col("entity_counts"), exposure), D.escalate(F.col("spans"), F.col("text")).alias("escalate"))
@@ -114,7 +114,7 @@ def overlap_pairs(spark, sf_dir):
 @query("span_positions_valid", "SELECT true AS valid")
 def span_positions_valid(spark, sf_dir):
     """Every span of every document lies in its text and says what stands there."""
-    d = D.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = D.with_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     ok = F.forall("spans", lambda s: D.valid_position(s, F.col("text")) & (F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["text"]))
     return d.agg(F.bool_and(ok).alias("valid"))
 

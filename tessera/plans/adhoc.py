@@ -104,8 +104,8 @@ def tenant_views(spark: SparkSession, sf_dir: str, tenant: str | None) -> None:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
-def run_guarded(spark: SparkSession, sql: str, tenant: str = "", limit: int = DEFAULT_ROWS) -> DataFrame:
-    """The guarded query as a DataFrame of at most limit + 1 rows; the extra row tells that it was cut."""
+def run_guarded(spark: SparkSession, sql: str, tenant: str = "", limit: int | None = DEFAULT_ROWS) -> DataFrame:
+    """The guarded query as a DataFrame of at most limit + 1 rows; the extra row tells that it was cut. None: uncut, for jobs that write what they find."""
     text = bind_tenant(validate(sql))
     with _ANALYSIS:
         # whatever the spelling (quotes, comments), no relation is a file: names are looked up among the views only
@@ -117,7 +117,7 @@ def run_guarded(spark: SparkSession, sql: str, tenant: str = "", limit: int = DE
             raise Rejected(str(e).splitlines()[0]) from e
         finally:
             spark.conf.set(_FILES, before)
-    return df.limit(min(limit, MAX_ROWS) + 1)
+    return df if limit is None else df.limit(min(limit, MAX_ROWS) + 1)
 
 
 def fetch(spark: SparkSession, sql: str, tenant: str = "", limit: int = DEFAULT_ROWS, timeout: float = TIMEOUT) -> dict:
@@ -136,6 +136,12 @@ def fetch(spark: SparkSession, sql: str, tenant: str = "", limit: int = DEFAULT_
     return {"columns": df.columns, "rows": rows[:most], "truncated": len(rows) > most}
 
 
+def fetch_arrow(spark: SparkSession, sql: str, tenant: str = "", limit: int = DEFAULT_ROWS):
+    """The rows as an Arrow table, without Python objects, and whether it was cut."""
+    got, most = run_guarded(spark, sql, tenant, limit).toArrow(), min(limit, MAX_ROWS)
+    return got.slice(0, most), got.num_rows > most
+
+
 def describe(spark: SparkSession, names: tuple[str, ...] = ("scan_results", "access_events")) -> dict[str, list[tuple[str, str]]]:
     """Columns and types of the views."""
     return {n: spark.table(n).dtypes for n in names}

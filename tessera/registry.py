@@ -16,6 +16,7 @@ MODULES = (
     "tessera.plans.policy_queries",
     "tessera.plans.filter_queries",
     "tessera.operators.detect_queries",
+    "tessera.operators.join_queries",
     "tessera.sources.lake_queries",
     "tessera.sources.source_queries",
     "tessera.streaming.stream_queries",

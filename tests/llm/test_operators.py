@@ -602,6 +602,63 @@ def test_html_names_are_read_whole(name):
         assert html_extraction.extract(f'<article><p>Some text.</p><div class="{bad}"><p>Not this one.</p></div></article>') == "Some text."
 
 
+PARAGRAPH = "<p>This is a proper paragraph of the article, long enough to be read as text. It has two sentences.</p>"
+INSIDE = (
+    '<div class="ad">Buy now</div>', '<div class="ad"><p>Buy our great shoes today. They are the best shoes in town, and cheap too.</p></div>',
+    '<div class="sidebar"><p>Popular stuff is here, and this text is long enough to be content.</p></div>', '<div class="newsletter-signup">Get our letter every week, it is free.</div>',
+    '<div class="notice">This page was moved here from elsewhere.</div>', '<section class="comments"><p>Great article, thanks a lot for writing it. I loved it.</p></section>',
+    '<div class="comment-body"><p>Great article, thanks a lot for writing it. I loved it.</p></div>', '<div id="articleShare">Share this</div>', '<div role="complementary"><p>More of our best texts, every day.</p></div>',
+    "<aside><p>Related things of some length are told here. Really.</p></aside>", '<form><p>Write to us, we read all of it. Thank you.</p></form>', '<div class="related-posts"><p>Another text of ours. It is good.</p></div>',
+)
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main><article>%s</article></main>", '<main class="content"><article class="post">%s</article></main>'])
+def test_html_boilerplate_inside_an_article_goes_wherever_it_stands(wrap):
+    text = PARAGRAPH[3:-4]
+    for bad in INSIDE:
+        for place in range(4):
+            parts = [PARAGRAPH] * 3
+            parts.insert(place, bad)
+            assert html_extraction.extract(wrap % "".join(parts)) == "\n".join([text] * 3), (bad, place)
+
+
+def test_html_rights_of_a_page_of_div_elements():
+    page = "<div>" + "<div>This is a paragraph, long enough to be read as text. It has two sentences.</div>" * 4 + "</div><div>Copyright 2024 Example Inc. All rights reserved.</div>"
+    assert html_extraction.extract(page).count("\n") == 3 and "Copyright" not in html_extraction.extract(page)
+
+
+def test_html_whole_pages_against_every_labelling(spark):
+    """The text is the one of the cheapest labelling of all, with fitted costs and edges as well."""
+    rng = random.Random(21)
+    line = lambda: " ".join(word(rng) for _ in range(rng.choice((1, 3, 15)))) + rng.choice(("", "."))
+    shapes = ("<p>%s</p>", "<div>%s</div>", '<li><a href="/x">%s</a></li>', "<h2>%s</h2>", '<div class="ad">%s</div>', "<aside>%s</aside>", "<div><p>%s</p></div>")
+    made = ["<article>" + "".join(rng.choice(shapes) % line() for _ in range(4)) + "</article>" + "".join(rng.choice(shapes) % line() for _ in range(4)) for _ in range(40)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(made)], "page_id long, url string, html string")
+    weights, scale = html_extraction.learn(pages)
+    assert len(weights) == len(html_extraction.FEATURES) and len(scale) == 3
+    got = {r.page_id: r.text for r in html_extraction.extracted(pages, model=(weights, scale)).collect()}
+    assert got == {r.page_id: r.text for r in html_extraction.extracted(pages.repartition(3)).collect()}
+    for i, t in enumerate(made):
+        blocks = html_extraction.blocks_of(t)
+        cost, edges = html_extraction.evidence(blocks, weights), html_extraction.smooth_edges(blocks, scale)
+        sides = [[bool(m >> k & 1) for k in range(len(blocks))] for m in range(1 << len(blocks))]
+        least = min(cut_value(cost, edges, side) for side in sides)
+        texts = {"\n".join(b.text for b, keep in zip(blocks, side) if keep) for side in sides if cut_value(cost, edges, side) <= least + 1e-9}
+        assert got[i] in texts
+
+
+def test_html_edges_are_fitted():
+    """Where the costs are wrong about lone lines, edges that mend them are found; where edges only harm, there are none."""
+    x = np.zeros((5, len(html_extraction.FEATURES)))
+    x[:, 0] = (2, 2, -0.5, 2, 2)
+    weights = (1.0, *[0.0] * (len(html_extraction.FEATURES) - 1))
+    near = [[i, i + 1, 0, 1.0] for i in range(4)]
+    page = (np.array([1.0, 1, 1, 1, 1]), x, near)
+    assert html_extraction.fitted_edges([page], weights)[0] > 0.25
+    y = np.array([1.0, 1, 0, 1, 1])
+    assert html_extraction.fitted_edges([(y, x, near)], weights)[0] <= 0.25
+
+
 def test_html_cut_turns_doubtful_blocks():
     """A short line among paragraphs goes with them, one among links goes with those; the classifier alone says otherwise."""
     text, link = "<div>This is a sentence of some length, and it ends well. Another one follows it.</div>", '<div><a href="/x">Go to this place</a></div>'

@@ -7,8 +7,8 @@ between tokens where the file names no decoder. The vocabulary is read from its
 the path is a parameter. Nothing is trained.
 
 Nulls and edge cases: a null or empty text has no tokens and decodes to the empty text; rows are coded
-one by one, so repeated rows, ids and extra columns change nothing; an empty table gives an empty
-result. Texts are never cut; what a worker remembers of words it has seen is bounded (MEMO).
+one by one, so repeated rows, ids and extra columns change nothing (a column to keep that is named like a result is
+refused); an empty table gives an empty result. Texts are never cut; what a worker remembers of words it has seen is bounded (MEMO).
 """
 
 from __future__ import annotations
@@ -178,7 +178,10 @@ def coded(df: DataFrame, path: str | None = None, keep: Iterable[str] = ("doc_id
     path: of the tokenizer's file, the same on every executor; None: the public 49k word vocabulary.
     """
     keep = list(keep)
+    from tessera.llm.shared import no_clash
+
     more = [("n_tokens", T.LongType()), ("ids_sha256" if digest else "ids", T.StringType() if digest else T.ArrayType(T.IntegerType())), ("decoded_sha256" if digest else "decoded", T.StringType())]
+    no_clash(keep, [n for n, _ in more])
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

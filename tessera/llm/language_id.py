@@ -3,13 +3,14 @@
 Each language has a codeword; for each bit of the code a logistic classifier over hashed byte n-grams
 predicts that bit. A text's language is the one whose codeword has the least loss, bits weighted by how
 well their classifiers did on their lessons; a small lead over the second best flags the text as
-ambiguous. The classifiers are fitted on the driver from a bounded sample (SAMPLE documents in all,
-spread evenly over the languages, by hash of the id); the weights (2^SLOTS * bits numbers) are broadcast.
+ambiguous. The classifiers are fitted on the driver from a bounded sample: SAMPLE documents in all, spread evenly over
+the languages by hash of the id, but LEAST of every language, so that however many there are each is learned. The
+weights (2^SLOTS * bits numbers, bits by the logarithm of the number of languages) are broadcast.
 
 Nulls and edge cases: a null text or one without a letter is `und` with score 0; null languages teach
 nothing; with one language every text gets it, with none all are `und`; ties go to the language first in
-order; rows are judged one by one, so repeated rows, ids and extra columns change nothing; an empty table
-gives an empty result.
+order; rows are judged one by one, so repeated rows, ids and extra columns change nothing (a column to keep that is
+named like a result is refused); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +19,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernel as K
-from tessera.llm.shared import crc_mod, table, text_chunks
+from tessera.llm.shared import crc_mod, no_clash, table, text_chunks
 
-SAMPLE = 3_000
-#: Languages that can be learned; the most frequent ones if there are more.
-LANGUAGES = 500
+#: Documents that teach, and of one language at least (or all it has).
+SAMPLE, LEAST = 3_000, 4
 SLOTS = 12
 GRAMS = (1, 2, 3, 4)
 STEPS = 80
@@ -135,16 +135,18 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Classifiers from at most about `sample` documents with a language that are not held out."""
+    """Classifiers from at most `sample` documents with a language that are not held out (LEAST of each language if that is more)."""
     lessons = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & (F.col("l") != "") & F.col("t").isNotNull() & ~held_out(F.col("k")))
-    sizes = {r.l: r.n for r in lessons.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    sizes = {r.l: r.n for r in lessons.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1 << SLOTS), np.float32), np.zeros(0, int))
-    per = max(4, sample // len(languages))
-    share = F.create_map(*[F.lit(v) for l in languages for v in (l, min(1.0, per / sizes[l]))])
-    place = F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1 << 30)) / float(1 << 30)
-    some = lessons.where(place < share[F.col("l")]).orderBy(F.xxhash64(F.lit(11), "k"), "k").limit(2 * sample)
+    per = max(LEAST, sample // len(languages))
+    # a share of each language's rows by hash, several times what is wanted, and of these the first: no task sorts a whole language
+    share = docs.sparkSession.createDataFrame([(l, min(1.0, 8 * per / sizes[l])) for l in languages], "l string, share double")
+    mix = F.xxhash64(F.lit(11), "k")
+    some = lessons.join(F.broadcast(share), "l").where(F.pmod(mix, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    some = some.withColumn("__n", F.row_number().over(Window.partitionBy("l").orderBy(mix, "k"))).where(F.col("__n") <= per)
     number = {l: i for i, l in enumerate(languages)}
 
     def run(batches):
@@ -161,7 +163,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, lang_pred, score and ambiguous, from each whole text. Map-only."""
-    keep = list(keep)
+    no_clash(keep := list(keep), ("lang_pred", "score", "ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("ambiguous", T.BooleanType(), False)])
 

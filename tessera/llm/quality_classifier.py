@@ -7,7 +7,8 @@ vectorised numpy traversal in the pass that reads its whole text.
 Nulls and edge cases: a null or empty text has all statistics 0 and is scored like any; labels that
 are null, of unknown ids or held out teach nothing, several labels of one id count as the largest; a
 repeated document teaches once and is scored each time; without labels of both kinds the score is the
-share of 1 (0.5 without any); extra columns change nothing; an empty table gives an empty result.
+share of 1 (0.5 without any); extra columns change nothing (a column to keep that is named like a result is refused);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import kernel as K
 from tessera.llm.quality_rules import measure_chunk
-from tessera.llm.shared import crc_mod, table, text_chunks
+from tessera.llm.shared import crc_mod, no_clash, table, text_chunks
 
 #: Labelled rows that teach, at most.
 SAMPLE = 20_000
@@ -170,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
 
 def classify(docs: DataFrame, model: Trees, keep: Iterable[str] = ("doc_id",), text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns, score and predicted."""
+    no_clash(keep := list(keep), ("score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = _map(docs, list(keep), text, "score", T.DoubleType(), lambda s: pa.array(shared.value.score(s)))
+    out = _map(docs, keep, text, "score", T.DoubleType(), lambda s: pa.array(shared.value.score(s)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

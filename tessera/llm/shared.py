@@ -94,6 +94,13 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, budget: int = CHUNK_BYTES) -
         first = last
 
 
+def no_clash(keep: Sequence[str], added: Sequence[str]) -> None:
+    """Kept columns must not be named like those that an operator adds."""
+    clash = sorted(set(keep) & set(added))
+    if clash:
+        raise ValueError(f"keep these columns under other names: {', '.join(clash)}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet beside the checkpoints, and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -602,6 +602,46 @@ def test_html_names_are_read_whole(name):
         assert html_extraction.extract(f'<article><p>Some text.</p><div class="{bad}"><p>Not this one.</p></div></article>') == "Some text."
 
 
+def test_every_language_is_learned(spark):
+    """Six hundred languages, most of them rare: none is left out, and texts of their own are told apart."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:03d}": "".join(rng.sample(letters, 7)) for i in range(600)}
+    rows = [(n := i * 10 + k, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(30)), l, "s", 1) for i, (l, a) in enumerate(own.items()) for k in range(4)]
+    rows += [(100_000 + k, "zzz yyy " * 9, "common", "s", 1) for k in range(500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(docs, sample=1000)
+    assert model.languages == sorted([*own, "common"])
+    assert {r.lang_pred for r in language_id.identify(docs.where("doc_id >= 100000"), model).collect()} == {"common"}
+
+
+def test_kept_columns_that_clash_are_refused(spark):
+    docs = table(spark, [(1, "a b")]).withColumns({c: F.lit(1) for c in ("n_tokens", "score", "lang_pred")})
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.coded(docs, keep=("doc_id", "n_tokens"))
+    with pytest.raises(ValueError, match="score"):
+        quality_classifier.classify(docs, quality_classifier.train(docs, none), keep=("doc_id", "score"))
+    with pytest.raises(ValueError, match="lang_pred"):
+        language_id.identify(docs, language_id.train(docs), keep=("lang_pred",))
+    # without keeping them they are in nobody's way
+    assert bpe.coded(docs).count() == quality_classifier.classify(docs, quality_classifier.train(docs, none)).count() == language_id.identify(docs, language_id.train(docs)).count() == 1
+
+
+def test_long_and_repeated_texts_are_scored_alike(spark):
+    """A text of megabytes scores like the same text in a table of its own, and a repeated row like its twin."""
+    rng = random.Random(32)
+    long = prose(rng, 400_000, 5000)
+    rows = [(1, long), (2, "short text of a few words here."), (2, "short text of a few words here."), (3, "short text of a few words here.")] + [(100 + i, prose(rng, 80)) for i in range(60)]
+    docs = table(spark, rows)
+    lab = spark.createDataFrame([(100 + i, i % 2) for i in range(60)], "doc_id long, quality int")
+    trees, model = quality_classifier.train(docs, lab), language_id.train(docs)
+    for score in (lambda d: quality_classifier.classify(d, trees), lambda d: language_id.identify(d, model)):
+        whole = [(r.doc_id, r.score) for r in score(docs).collect()]
+        assert len(whole) == len(rows) and len({s for i, s in whole if i in (2, 3)}) == 1
+        assert dict(whole)[1] == score(docs.where("doc_id = 1")).first().score
+
+
 PARAGRAPH = "<p>This is a proper paragraph of the article, long enough to be read as text. It has two sentences.</p>"
 INSIDE = (
     '<div class="ad">Buy now</div>', '<div class="ad"><p>Buy our great shoes today. They are the best shoes in town, and cheap too.</p></div>',

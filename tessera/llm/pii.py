@@ -122,44 +122,65 @@ def disclosing(docs: DataFrame, held: DataFrame, text: str = "text", window: int
     seen = occurrence.select("__row", F.xxhash64("x.k", F.lower("x.v")).alias("e"), F.col("x.c").alias("c")).withColumn("h", F.xxhash64("c"))
     words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(WORD), F.lit(0))))
     near = seen.select("__row", "e", words(F.col("c")).alias("t"), "h").groupBy("__row", "e", "t").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    near = cut(near)
     # an entity's contexts in a document as one: they stand for the terms of the document that are in none of them
     per = cut(seen.groupBy("__row", "e").agg(F.xxhash64(F.array_sort(F.collect_set("h"))).alias("h")))
-    with_e = cut(per.groupBy("e").agg(F.count("*").alias("n_e")))
+    with_e = per.groupBy("e").agg(F.count("*").alias("n_e"))
     with_t = cut(docs.select(words(F.lower(t)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")))
     n = docs.count()
+
+    # Entities of the same documents whose contexts are equal in the same ones of them share every fate of a term that
+    # is near none of them: such a class is counted once. The least row with an equal context stands for the context.
+    shared = per.join(with_e.where("n_e > 1"), "e")
+    shared = cut(shared.join(shared.groupBy("e", "h").agg(F.min("__row").alias("h0")), ["e", "h"]).select("__row", "e", F.col("h0").alias("h"), "n_e"))
+    prints = [F.hex(F.bit_xor(F.xxhash64(F.lit(k), "__row", "h"))) for k in (1, 2)]
+    class_of = cut(shared.groupBy("e").agg(F.concat(*prints).alias("c"), F.max("n_e").alias("n_e")))
+    sizes = class_of.groupBy("c").agg(F.count("*").alias("size"), F.max("n_e").alias("n_e"))
+    members = shared.join(class_of.select("e", "c"), "e").groupBy("c", "__row").agg(F.min("h").alias("h"), F.max("n_e").alias("n_e"))
+
     # both <= n_e, so share >= generalise needs n_t <= n^(1 - generalise) * n_e^generalise; and a document by itself
     # is one context, so a term away from the entity needs two. What is left out here can't disclose anything.
-    most = F.pow(F.lit(float(n)), F.lit(1 - generalise)) * F.pow("n_e", F.lit(generalise)) * (1 + 1e-9)
-    shared = per.join(with_e.where("n_e > 1"), "e").withColumn("most", most)
-    rare = with_t.where(F.col("n_t") > 1).join(F.broadcast(shared.agg(F.max("most").alias("top"))), F.col("n_t") <= F.col("top")).select("t", "n_t")
-    own = held.select("__row", words(F.lower(t)).alias("t")).join(rare, "t")
-    whole = shared.join(own, "__row").where(F.col("n_t") <= F.col("most")).select("__row", "e", "t", "h")
-    # one row for each document, entity, term
-    union = near.withColumn("h", F.lit(None).cast("long")).unionByName(whole.withColumn("lo", F.lit(None).cast("long")).withColumn("hi", F.lit(None).cast("long")))
-    pairs = union.groupBy("__row", "e", "t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("h").alias("h"))
-    pairs = cut(pairs.select("__row", "e", "t", F.coalesce("lo", "h").alias("lo"), F.coalesce("hi", "h").alias("hi")))
-    both = pairs.groupBy("e", "t").agg(F.count("*").alias("both"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("e", "t", "both")
-    pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t").cast("double")))
-    content = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    strong = both.join(with_e, "e").join(with_t, "t").withColumn("share", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("share") >= generalise)
-    return pairs.join(strong.select("e", "t", "share"), ["e", "t"]).groupBy("__row", "t").agg(F.max("share").alias("share"))
+    members = members.withColumn("most", F.pow(F.lit(float(n)), F.lit(1 - generalise)) * F.pow("n_e", F.lit(generalise)) * (1 + 1e-9))
+    rare = with_t.where(F.col("n_t") > 1).join(F.broadcast(members.agg(F.max("most").alias("top"))), F.col("n_t") <= F.col("top")).select("t", "n_t")
+    own = cut(held.select("__row", words(F.lower(t)).alias("t")).join(rare, "t"))
+    # A term needs two of a class's documents, so its longest one proposes none: it is asked for what the others propose.
+    # A list of thousands of entities, each with a page of its own, is thus as much work as the pages.
+    members = cut(members.join(own.groupBy("__row").agg(F.count("*").alias("words")), "__row"))
+    longest = members.groupBy("c").agg(F.max(F.struct("words", "__row")).alias("x")).select("c", F.col("x.__row").alias("__row"))
+    others = members.join(longest, ["c", "__row"], "left_anti")
+    proposed = cut(others.join(own, "__row").where(F.col("n_t") <= F.col("most")).select("c", "t", "__row", "h"))
+    asked = proposed.select("c", "t").distinct().join(members.join(longest, ["c", "__row"]).select("c", "__row", "h"), "c").join(own.select("__row", "t"), ["__row", "t"])
+    pairs = cut(proposed.unionByName(asked.select("c", "t", "__row", "h")))
+    both = pairs.groupBy("c", "t").agg(F.count("*").alias("both"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+
+    def strong(df: DataFrame) -> DataFrame:
+        pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t").cast("double")))
+        content = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+        return df.join(with_t, "t").withColumn("share", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("share") >= generalise)
+
+    # terms near an entity have its own contexts for evidence; one that is elsewhere in another document has two
+    close = near.groupBy("e", "t").agg(F.count("*").alias("n_near"), F.min("lo").alias("near_lo"), F.max("hi").alias("near_hi"))
+    close = close.join(with_e, "e").join(class_of.select("e", "c"), "e", "left")
+    close = cut(close.join(both.select("c", "t", "both"), ["c", "t"], "left").withColumn("both", F.greatest("n_near", F.coalesce("both", F.lit(0)))))
+    by_entity = strong(close.where("near_lo <> near_hi or n_near < both")).select("e", "c", "t", "share")
+    # and for the entities of a class that it is near to nowhere, the documents' contexts are the evidence
+    nowhere = both.where("lo <> hi").join(sizes, "c").join(close.where("c is not null").groupBy("c", "t").agg(F.count("*").alias("k")), ["c", "t"], "left").where("coalesce(k, 0) < size")
+    by_class = strong(nowhere).select("c", "t", "share").unionByName(by_entity.where("c is not null").select("c", "t", "share"))
+    found = pairs.join(by_class.groupBy("c", "t").agg(F.max("share").alias("share")), ["c", "t"]).select("__row", "t", "share")
+    return found.unionByName(near.join(by_entity.select("e", "t", "share"), ["e", "t"]).select("__row", "t", "share")).groupBy("__row", "t").agg(F.max("share").alias("share"))
 
 
 def with_terms(docs: DataFrame, held: DataFrame, text: str = "text", remove: float = REMOVE) -> DataFrame:
     """held with __all: base spans and the spans of disclosing terms (value v: remove or generalise)."""
-    terms = disclosing(docs, held, text).groupBy("__row").agg(
-        # the words of a document: bounded by it
-        F.array_join(F.array_sort(F.collect_set("t")), "|").alias("__terms"),
-        F.map_from_entries(F.collect_list(F.struct("t", F.when(F.col("share") >= remove, "remove").otherwise("generalise")))).alias("__acts"),
-    )
-    joined = held.join(terms, "__row", "left").withColumn("__pattern", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("__terms"), F.lit(r")(?!\p{L})")))
-    spans = F.expr(f"if(__pattern is null, cast(array() as {SPANS}), {found(f'`{text}`', '__pattern', 4)})")
-    joined = joined.withColumn("__found", spans)
-    joined = joined.withColumn(
-        "__all",
-        F.expr("array_sort(concat(__spans, transform(" + apart("__spans", "__found") + ", t -> named_struct('s', t.s, 'k', t.k, 'e', t.e, 'v', coalesce(__acts[lower(t.v)], 'generalise')))))"),
-    )
-    return joined.drop("__terms", "__acts", "__pattern", "__found")
+    act = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("act")
+    terms = cut(disclosing(docs, held, text).select("__row", "t", act))
+    # the words of the documents that have such terms, joined to them: a document may have thousands
+    some = held.join(terms.select("__row").distinct(), "__row", "left_semi")
+    said = some.select("__row", F.explode(F.expr(found(f"`{text}`", _q(WORD), 4))).alias("x")).select("__row", "x.s", "x.e", F.lower("x.v").alias("t"))
+    span = F.struct("s", F.lit(4).alias("k"), "e", F.col("act").alias("v"))
+    spans = said.join(terms, ["__row", "t"]).groupBy("__row").agg(F.array_sort(F.collect_list(span)).alias("__found"))
+    joined = held.join(spans, "__row", "left").withColumn("__found", F.coalesce("__found", F.expr(f"cast(array() as {SPANS})")))
+    return joined.withColumn("__all", F.expr(f"array_sort(concat(__spans, {apart('__spans', '__found')}))")).drop("__found")
 
 
 def listed(spans: str) -> str:

@@ -170,14 +170,36 @@ FINANCIAL = Family("financial", CHECKSUM, (
     p("CRYPTO_SEED_PHRASE", 0.95, r"\b(?:seed|mnemonic|recovery|backup)\s+(?:phrase|words?)\s*:?\s+((?:[a-z]{3,8} ){11}(?:(?:[a-z]{3,8} ){12})?[a-z]{3,8})\b", V.seed_phrase, re.I),
 ))
 
-_LEVEL = r"TOP\s+SECRET|SECRET|CONFIDENTIAL"
+# --- fixed values: words of the public marking manuals -----------------------------------------------
+#: Levels of a banner line, and their forms in portions.
+LEVELS = ("TOP SECRET", "SECRET", "CONFIDENTIAL")
+PORTIONS = ("TS", "S", "C")
+#: Markings of matter that has no level.
+NO_LEVEL = ("UNCLASSIFIED", "CONTROLLED UNCLASSIFIED INFORMATION", "SENSITIVE BUT UNCLASSIFIED", "OFFICIAL USE ONLY", "LIMITED OFFICIAL USE")
+#: Control systems and the disciplines of intelligence.
+CONTROL_SYSTEMS = ("HCS", "SI", "TK")
+DISCIPLINES = ("COMINT", "SIGINT", "HUMINT", "IMINT", "GEOINT", "MASINT")
+SPECIAL_ACCESS = ("SPECIAL ACCESS PROGRAM", "SPECIAL ACCESS REQUIRED")
+#: Dissemination controls; REL TO is followed by the trigraphs of countries.
+CONTROLS = ("NOFORN", "ORCON", "IMCON", "PROPIN", "FOUO", "FVEY")
+# --- end of fixed values ---------------------------------------------------------------------------
+
+
+def _any(words: tuple[str, ...]) -> str:
+    """One of these words, whatever blanks part them; the longest first, as they stand in each other."""
+    return "(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True)) + ")"
+
+
+_COUNTRIES = r"[A-Z]{3,4}(?:\s*,\s*[A-Z]{3,4})*"
 GOVERNMENT = Family("government", PATTERN, (
-    p("CLASSIFICATION_MARKING", 0.98, rf"(?<!\w)((?:{_LEVEL}|TS|S|C)//[A-Z][A-Z/ ]*[A-Z])(?!\w)"),
-    p("CLASSIFICATION_LEVEL", 0.98, r"\b(TOP\s+SECRET|CONTROLLED\s+UNCLASSIFIED\s+INFORMATION|SENSITIVE\s+BUT\s+UNCLASSIFIED|OFFICIAL\s+USE\s+ONLY|LIMITED\s+OFFICIAL\s+USE|UNCLASSIFIED)\b", None, re.I),
-    p("CLASSIFICATION_LEVEL", 0.85, r"\b(SECRET|CONFIDENTIAL)\b", None, re.I),
-    p("SCI_MARKING", 0.98, r"(//(?:SI|TK|HCS|COMINT|SIGINT|HUMINT|IMINT|GEOINT|MASINT))\b"),
-    p("SCI_MARKING", 0.98, r"\b(SPECIAL\s+ACCESS\s+(?:PROGRAM|REQUIRED))\b", None, re.I),
-    p("DISSEMINATION_CONTROL", 0.98, r"\b(NOFORN|ORCON|IMCON|PROPIN|FOUO|FVEY|REL\s+TO\s+[A-Z]{3,4}(?:\s*,\s*[A-Z]{3,4})*)\b"),
+    # a banner or portion: the level, then controls behind double slashes
+    p("CLASSIFICATION_MARKING", 0.98, rf"(?<!\w)({_any(LEVELS + PORTIONS)}//[A-Z][A-Z/ ]*[A-Z])(?!\w)"),
+    p("CLASSIFICATION_LEVEL", 0.98, rf"\b({_any(LEVELS[:1] + NO_LEVEL)})\b", None, re.I),
+    # the other levels are common words: their surroundings decide (see SECRET_CONTEXT)
+    p("CLASSIFICATION_LEVEL", 0.85, rf"\b({_any(LEVELS[1:])})\b", None, re.I),
+    p("SCI_MARKING", 0.98, rf"(//{_any(CONTROL_SYSTEMS + DISCIPLINES)})\b"),
+    p("SCI_MARKING", 0.98, rf"\b({_any(SPECIAL_ACCESS)})\b", None, re.I),
+    p("DISSEMINATION_CONTROL", 0.98, rf"\b({_any(CONTROLS)}|REL\s+TO\s+{_COUNTRIES})\b"),
     labelled("CAGE_CODE", "cage,cage code", r"[A-Z0-9]{5}", 0.98),
     labelled("DUNS_NUMBER", "duns,d-u-n-s", r"\d{9}|\d{2}-\d{3}-\d{4}", 0.98),
     labelled("UEI", "uei,unique entity", r"[A-Z0-9]{12}", 0.98),

@@ -32,15 +32,14 @@ def secret_context(text: str, start: int, end: int) -> bool:
     return any(c in around for c in P.SECRET_CONTEXT)
 
 
-_NO_SSN = re.compile(r"\b(?:" + "|".join(map(re.escape, P.NO_SSN_BEFORE)) + r")\b")
+_ANNOUNCES = "|".join(map(re.escape, P.NO_SSN_BEFORE))
+#: A word that announces another kind of number; at a separator that touches the number, also as the end of a word.
+_NO_SSN = re.compile(rf"\b(?:{_ANNOUNCES})\b|(?:{_ANNOUNCES})\s*[#:.-]\Z")
 
 
 def ssn_context(text: str, start: int) -> bool:
-    """Whether what stands before nine bare digits leaves them a social security number: no word that announces
-    another kind of number nearby, and none (not even as a word's end) right before a separator."""
-    before = text[max(0, start - P.NO_SSN_WINDOW) : start].lower()
-    announced = before[-5:].rstrip().endswith(("#", ":", ".", "-")) and before[:-1].strip().endswith(P.NO_SSN_BEFORE)
-    return not announced and _NO_SSN.search(before) is None
+    """Whether nothing before nine bare digits says that they are another kind of number."""
+    return not _NO_SSN.search(text[max(0, start - P.NO_SSN_WINDOW) : start].lower())
 
 
 def family_spans(family: P.Family, text: str, seen: P.Seen | None = None) -> list[Span]:

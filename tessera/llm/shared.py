@@ -101,13 +101,26 @@ def no_clash(keep: Sequence[str], added: Sequence[str]) -> None:
         raise ValueError(f"keep these columns under other names: {', '.join(clash)}")
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet beside the checkpoints, and read again."""
+    """df written as Parquet beside the checkpoints, and read again. It stays until `release`, as results are read from it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what `stored` has written in this process, once the results made of it are consumed; how many tables."""
+    n = len(_stored)
+    while _stored:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def positions(df: DataFrame, order: Sequence[Column], length: str, at: str, name: str) -> DataFrame:
     """df with `at`: the sum of `length` over all rows before this one in the given order, over the whole table.
 

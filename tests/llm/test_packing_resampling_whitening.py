@@ -49,6 +49,14 @@ def test_positions(spark):
     assert shared.positions(spark.createDataFrame([], "i long, n long"), [F.col("i")], "n", "at", "t").count() == 0
 
 
+def test_release(spark):
+    shared.release(spark)
+    kept = shared.stored(spark.range(5), "t")
+    assert kept.count() == 5 and shared.release(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 # --- packing -----------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():

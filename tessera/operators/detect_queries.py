@@ -150,7 +150,7 @@ def entity_resolution(spark, sf_dir):
 
 def found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Every document with its spans."""
-    return D.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), **options)
+    return D.with_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), **options)
 
 
 @query("resolve_documents")

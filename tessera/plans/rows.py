@@ -205,10 +205,30 @@ def enumeration_filter(spark, sf_dir):
 
 
 def glob_regex(glob: str) -> str:
-    """fnmatch as a Java regular expression."""
+    """A shell pattern (*, ?, [abc], [a-z], [!abc]) as a Java regular expression of whole strings. A bracket that nothing closes is a
+    character; a range that falls holds none."""
     import re
 
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob) + "$"
+    out, i = [], 0
+    while i < len(glob):
+        c, i = glob[i], i + 1
+        # a closing bracket that comes first is one of the characters
+        end = glob.find("]", i + 1 + glob.startswith("!", i)) if c == "[" else -1
+        if end > 0:
+            body, i = glob[i:end], end + 1
+            no, body = ("^", body[1:]) if body[0] == "!" else ("", body)
+            body = re.sub("(.)-(.)", lambda m: m[0] if m[1] <= m[2] else "", body)
+            inner = re.sub(r"([\\\[\]&^~|])", r"\\\1", body)
+            out.append(f"[{no}{inner}]" if inner else "." if no else "(?!)")
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or re.escape(c))
+    return "(?s)^" + "".join(out) + r"\z"
+
+
+@query("enumeration_globs", SQL + "SELECT file_path FROM files WHERE NOT file_path GLOB '/src[1-3]/[!e]*' AND NOT file_path GLOB '*[05].txt' AND NOT file_path GLOB '/src1?/[ef][nr]/*'")
+def enumeration_globs(spark, sf_dir):
+    """Patterns with classes of characters."""
+    return enumerate_files(files(spark, sf_dir), exclude_globs=("/src[1-3]/[!e]*", "*[05].txt", "/src1?/[ef][nr]/*")).select("file_path")
 
 
 TEMP_PRESET = ("*.tmp", "*.temp", "*.swp", "*~", "*.bak", "*.log")

@@ -262,3 +262,16 @@ def test_no_span_is_lost_to_what_a_pattern_needs():
     # most patterns need something that can be told before they run
     told = [patterns.needs(x.regex) for family in patterns.FAMILIES.values() for x in family.patterns]
     assert sum(bool(n.literals or n.digits) for n in told) > 0.9 * len(told)
+
+
+@pytest.mark.parametrize("glob", ["*.txt", "a?c", "[abc]x", "[!abc]x", "[a-c]*", "[]x]y", "[!]x]y", "[ab", "a[", "x[]", "[z-a]", "[!z-a]", "[a&&b]", "[^a]", "a.b+(c)", "[a-]", "[\\\\d]x", "*[0-9][0-9].log"])
+def test_globs(glob):
+    """As the shell's patterns match, on strings of their own letters."""
+    import fnmatch
+    import re
+
+    rng = random.Random(glob)
+    letters = "abcxyz]![-^&.+()d\\\\09" + glob
+    cases = ["", "a.txt", "abc", "cx", "dx", "]y", "xy", "[ab", "a[", "5.log", "x12.log", "line\nend"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    pattern = re.compile(rows.glob_regex(glob)[:-2] + r"\Z")
+    assert [bool(pattern.match(c)) for c in cases] == [fnmatch.fnmatchcase(c, glob) for c in cases]

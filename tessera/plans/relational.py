@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.catalogue import query
 from tessera.plans.base import SQL, access_events, files, scan_results
 from tessera.plans.dashboard import n_if
-from tessera.session import table
+from tessera.session import shared_place, table
 
 # --- directory tree, security descriptors and folder inventory, derived from the parts and suppliers ---
 TREE = """dirs AS (SELECT p_partkey AS id, p_partkey * 7 AS dir_ref, case when p_partkey < 10 then NULL else (p_partkey // 10) * 7 end AS parent_ref, '/' || p_brand || '/' || p_partkey AS dir_path, case when p_partkey % 13 = 0 then NULL else p_size % 9 end AS sd_id FROM part),
@@ -93,10 +94,27 @@ def tree_parents_by_path(spark, sf_dir):
 
 @query("tree_depth_recursive", "WITH RECURSIVE " + TREE + ", walk AS (SELECT id, dir_ref, 0 AS depth FROM dirs WHERE parent_ref IS NULL UNION ALL SELECT d.id, d.dir_ref, w.depth + 1 FROM dirs d JOIN walk w ON d.parent_ref = w.dir_ref) SELECT depth, count(*) AS n FROM walk GROUP BY 1")
 def tree_depth_recursive(spark, sf_dir):
-    """Directories by depth: a recursive walk over the adjacency list."""
-    # the frames are passed by name, no view of the session is replaced
-    return spark.sql("""WITH RECURSIVE walk(id, dir_ref, depth) AS (SELECT id, dir_ref, 0 FROM {dirs} WHERE parent_ref IS NULL UNION ALL SELECT d.id, d.dir_ref, w.depth + 1 FROM {dirs} d JOIN walk w ON d.parent_ref = w.dir_ref)
-      SELECT depth, count(*) AS n FROM walk GROUP BY depth""", dirs=dirs(spark, sf_dir))
+    """Directories by depth: the walk over the adjacency list, level by level."""
+    return depths(dirs(spark, sf_dir))
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    """depth, n: how many walks from the roots end at each depth. Neither rows nor depth are limited, as they are in a recursive query.
+
+    A level is stored as its directories with the number of walks that reach them; the next one is a join with it.
+    """
+    spark, at, depth = tree.sparkSession, shared_place(tree.sparkSession, "walk"), 0
+    schema = T.StructType([T.StructField("dir_ref", tree.schema["dir_ref"].dataType), T.StructField("n", T.LongType())])
+    level, children = tree.where("parent_ref IS NULL").groupBy("dir_ref").agg(F.count("*").alias("n")), tree.where("parent_ref IS NOT NULL").select("dir_ref", "parent_ref")
+    while True:
+        level.write.parquet(f"{at}/depth={depth}")
+        level = spark.read.schema(schema).parquet(f"{at}/depth={depth}")
+        if level.isEmpty():
+            break
+        above = level.select(F.col("dir_ref").alias("parent_ref"), "n")
+        level, depth = children.join(above, "parent_ref").groupBy("dir_ref").agg(F.sum("n").alias("n")), depth + 1
+    walks = spark.read.schema(schema.add("depth", T.IntegerType())).parquet(at)
+    return walks.groupBy("depth").agg(F.sum("n").alias("n"))
 
 
 @query("monitored_first_match", SQL + """, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY tenant, doc_id) AS rn FROM scan) SELECT a.event_id, m.file_path FROM access a JOIN m ON m.rn = 1 AND a.doc_id % 50 = m.doc_id % 50 WHERE a.action = 'write'""")

@@ -18,8 +18,11 @@ for the one task of the limit.
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,30 +59,87 @@ def bursts(events: list[tuple[int, int]], open_: tuple[int, int, int, int] | Non
     return done, open_, quiet
 
 
+class Places:
+    """Which of `n` places are taken, as bits: taking, leaving and finding the next taken one don't go through the others."""
+
+    def __init__(self, n: int):
+        self.width = max(64, math.isqrt(n))
+        self.words, self.used = [0] * (n // self.width + 1), 0
+
+    def take(self, i: int) -> None:
+        word, bit = divmod(i, self.width)
+        self.words[word] |= 1 << bit
+        self.used |= 1 << word
+
+    def leave(self, i: int) -> None:
+        word, bit = divmod(i, self.width)
+        self.words[word] &= ~(1 << bit)
+        if not self.words[word]:
+            self.used &= ~(1 << word)
+
+    def next(self, i: int) -> int | None:
+        """The first taken place from i on."""
+        word, bit = divmod(i, self.width)
+        if ahead := self.words[word] >> bit:
+            return i + (ahead & -ahead).bit_length() - 1
+        if ahead := self.used >> word + 1:
+            word += (ahead & -ahead).bit_length()
+            return word * self.width + (self.words[word] & -self.words[word]).bit_length() - 1
+        return None
+
+
 def limited(waiting: list[tuple], sent: list[int], until: int, most: int, seconds: int, retry: int):
-    """Dispatch of (ready, rank, due, path, n): those dispatched with their time, those that wait, the times within the window."""
-    heap = list(waiting)
-    heapq.heapify(heap)
-    done, sent = [], list(sent)
-    while heap and heap[0][0] <= until:
-        now, batch = heap[0][0], []
-        while heap and heap[0][0] <= now:
-            batch.append(heapq.heappop(heap))
-        sent = [t for t in sent if now - t < seconds]
-        batch.sort(key=lambda s: s[1:])
-        room = max(0, most - len(sent))
-        for scan in batch[:room]:
-            sent.append(now)
-            done.append((*scan, now))
-        for scan in batch[room:]:
-            heapq.heappush(heap, (now + retry, *scan[1:]))
-    return done, heap, sent
+    """Dispatch of (ready, rank, due, path, n): those dispatched with their time, those that wait, the times within the window.
+
+    A scan that waits is ready again every `retry`, so always at the same place of that period: once there is room, the
+    next scan is the one at the next place. Moments at which nothing can be dispatched are passed over, so the work
+    grows with the scans and not with how long they wait.
+    """
+    coming, later = sorted(w for w in waiting if w[0] <= until), [w for w in waiting if w[0] > until]
+    places = sorted({w[0] % retry for w in coming})
+    taken, here = Places(len(places)), [[] for _ in places]
+    done, sent, come, now = [], sorted(sent), 0, coming[0][0] - 1 if coming else until
+    while most > 0:
+        # the first moment with room, and all that have come by then
+        now = max(now + 1, sent[-most] + seconds) if len(sent) >= most else now + 1
+        ahead = taken.next(bisect_left(places, now % retry))
+        turn = 0 if ahead is not None else retry
+        if ahead is None:
+            ahead = taken.next(0)
+        ready = None if ahead is None else now - now % retry + turn + places[ahead]
+        if come < len(coming) and (ready is None or coming[come][0] <= ready):
+            # one that comes before or just then takes its place; the next moment is sought again
+            first = max(now, coming[come][0])
+            while come < len(coming) and coming[come][0] <= first:
+                at = bisect_left(places, coming[come][0] % retry)
+                heapq.heappush(here[at], coming[come][1:])
+                taken.take(at)
+                come += 1
+            now = first - 1
+            continue
+        if ready is None or ready > until:
+            break
+        now, room = ready, most - len(sent) + bisect_right(sent, ready - seconds)
+        while room > 0 and here[ahead]:
+            done.append((now, *heapq.heappop(here[ahead]), now))
+            insort(sent, now)
+            room -= 1
+        if not here[ahead]:
+            taken.leave(ahead)
+    again = lambda place: until + 1 + (place - until - 1) % retry
+    left = [(again(p), *scan) for p, scans in zip(places, here) for scan in scans] + [(again(w[0]), *w[1:]) for w in coming[come:]] + later
+    return done, left, sent[-most:] if most > 0 else []
 
 
 def _milli(micro: int) -> int:
     return -(-micro // 1000)
 
 
+def _times(micros: tuple[int, ...]) -> pd.Series:
+    """As microseconds: scans that wait for their turn may be dispatched after 2262, where nanoseconds end."""
+    return pd.Series(np.array(micros, "datetime64[us]"))
+
+
 class FileRest(StatefulProcessor):
     """file_path, risk_tier, due, first, last, n of each burst once its file has rested."""
 
@@ -118,8 +178,7 @@ class FileRest(StatefulProcessor):
             self.quiet.clear()  # nothing of a file at rest is kept
         if done:
             first, last, due, n = zip(*done)
-            t = lambda x: pd.to_datetime(pd.Series(x, dtype="int64"), unit="us")
-            yield pd.DataFrame({"file_path": key[0], "risk_tier": key[1], "due": t(due), "first": t(first), "last": t(last), "n": n})
+            yield pd.DataFrame({"file_path": key[0], "risk_tier": key[1], "due": _times(due), "first": _times(first), "last": _times(last), "n": n})
 
     def close(self) -> None:
         pass
@@ -160,8 +219,7 @@ class RateLimit(StatefulProcessor):
             self.handle.registerTimer(_milli(min(w[0] for w in waiting)))
         if done:
             _, rank, due, path, n, at = zip(*done)
-            t = lambda x: pd.to_datetime(pd.Series(x, dtype="int64"), unit="us")
-            yield pd.DataFrame({"file_path": path, "risk_tier": [self.tiers[r] for r in rank], "due": t(due), "dispatched": t(at), "n": n})
+            yield pd.DataFrame({"file_path": path, "risk_tier": [self.tiers[r] for r in rank], "due": _times(due), "dispatched": _times(at), "n": n})
 
     def close(self) -> None:
         pass
@@ -170,10 +228,13 @@ class RateLimit(StatefulProcessor):
 def scan_trigger(
     events: DataFrame, late: str = "60 seconds", cooldown: float = COOLDOWN, most: int = RATE, seconds: float = RATE_SECONDS, retry: float = RETRY,
 ) -> DataFrame:
-    """Dispatched scans of a stream of events (event_time, file_path, risk_tier). Needs the RocksDB state store (ROCKS)."""
+    """Dispatched scans of a stream of events (event_time, file_path, risk_tier). Needs the RocksDB state store (ROCKS).
+
+    An event of 2262 or later, which pandas can't hold, only moves the watermark: a stream ends by such a beat.
+    """
     rest = X.literal_map(DEBOUNCE)[F.col("risk_tier")] * SECOND
     keyed = events.where(F.col("risk_tier").isin(*PRIORITY)).withWatermark("event_time", late)
-    keyed = keyed.select("file_path", "risk_tier", "event_time", F.unix_micros("event_time").alias("at"), rest.cast("long").alias("rest"))
+    keyed = keyed.where(F.col("event_time") < F.lit("2262-01-01").cast("timestamp")).select("file_path", "risk_tier", "event_time", F.unix_micros("event_time").alias("at"), rest.cast("long").alias("rest"))
     due = keyed.groupBy("file_path", "risk_tier").transformWithStateInPandas(FileRest(cooldown), FileRest.SCHEMA, "Append", "EventTime", eventTimeColumnName="due")
     due = due.select(F.lit(0).alias("all"), "file_path", "risk_tier", "due", F.unix_micros("due").alias("at"), "n")
     return due.groupBy("all").transformWithStateInPandas(RateLimit(most, seconds, retry), RateLimit.SCHEMA, "Append", "EventTime")

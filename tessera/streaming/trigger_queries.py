@@ -64,7 +64,10 @@ def triggered(spark: SparkSession, sf_dir: str, name: str, most: int, seconds: f
 
     run()
     e.where(F.col("event_time") > half).write.mode("append").parquet(f"{at}/in")
-    own.range(1).select((F.lit(most_time) + F.expr("interval 400 days")).alias("event_time"), F.lit(-1).cast("long").alias("doc_id")).write.mode("append").parquet(f"{at}/in")
+    # in any `seconds + retry` after the last event at least `most` of those that wait are dispatched, so by then all are
+    scans = e.join(monitored.where(F.col("risk_tier").isin(*G.PRIORITY)), "doc_id").count()
+    days = int((scans // most + 1) * (seconds + retry) // 86400) + 2
+    own.range(1).select((F.lit(most_time) + F.make_dt_interval(days=F.lit(days))).alias("event_time"), F.lit(-1).cast("long").alias("doc_id")).write.mode("append").parquet(f"{at}/in")
     run()
     return spark.read.schema(G.RateLimit.SCHEMA).parquet(f"{at}/out")
 

@@ -1,9 +1,14 @@
 """What made queries fail or crawl on large tables, on small ones."""
 
 import random
+import time
+
+import duckdb
 
 from tessera import registry
 from tessera.plans import relational
+from tessera.streaming import scan_trigger as G
+from tessera.streaming import trigger_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +39,51 @@ def test_tree_depths(spark):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 3
     assert got.dtypes == [("depth", "int"), ("n", "bigint")]
     assert relational.depths(spark.createDataFrame([], "dir_ref long, parent_ref long")).count() == 0
+
+
+def test_limit_does_not_go_through_moments_without_room():
+    """Scans that wait for years, asked every hour: seconds of work, however long they wait."""
+    rng, s = random.Random(9), G.SECOND
+    scans = [(d := rng.randrange(30 * 86400 * s), rng.randrange(3), d, f"/f{i}", 1) for i in range(20_000)]
+    began = time.process_time()
+    done, left, _ = G.limited(scans, [], 10**17, 4, 6 * 3600 * s, 3600 * s)
+    assert time.process_time() - began < 30 and not left
+    assert sorted(d[2:5] for d in done) == sorted(w[2:5] for w in scans)
+    at = [d[-1] for d in done]
+    assert at == sorted(at) and all(b - a >= 6 * 3600 * s for a, b in zip(at, at[4:])) and all((d[-1] - d[2]) % (3600 * s) == 0 for d in done)
+
+
+def test_limit_in_parts_with_others_between():
+    """Equal moments and ranks, several parts, scans that come while others wait: as a plain heap gives them."""
+    rng = random.Random(10)
+    for _ in range(300):
+        most, seconds, retry = rng.choice((1, 2, 5)), rng.choice((1, 9, 40)), rng.choice((1, 3, 7, 50))
+        scans = [(d := rng.randrange(80), rng.randrange(3), d, f"f{i}", 1) for i in range(rng.randrange(40))]
+        want, heap, sent = [], list(scans), []
+        while heap:
+            now = min(heap)[0]
+            for w in sorted((w for w in heap if w[0] == now), key=lambda w: w[1:]):
+                heap.remove(w)
+                if sum(now - t < seconds for t in sent) < most:
+                    sent.append(now)
+                    want.append((*w, now))
+                else:
+                    heap.append((now + retry, *w[1:]))
+        done, left, sent, before = [], [], [], -1
+        for until in (*sorted(rng.randrange(200) for _ in range(3)), 10**6):
+            more, left, sent = G.limited(left + [w for w in scans if before < w[0] <= until], sent, until, most, seconds, retry)
+            done, before = done + more, until
+        assert done == want and not left
+
+
+def test_scans_that_wait_for_centuries_are_dispatched(spark):
+    """The stream ends when the last scan has had its turn, here after 2262."""
+    days = 12000
+    c = duckdb.connect()
+    for t in ("documents", "labels", "events"):
+        c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    theirs = c.sql(f"select file_path, risk_tier, epoch_us(due), epoch_us(dispatched), n from ({trigger_queries._sql(1, days * 86400, days * 43200)})").fetchall()
+    ours = trigger_queries.triggered(spark, DATA, "trigger-long", 1, days * 86400, days * 43200)
+    got = ours.selectExpr("file_path", "risk_tier", "unix_micros(due)", "unix_micros(dispatched)", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(theirs)
+    assert max(r[3] for r in theirs) > 9_300_000_000 * 10**6

@@ -35,11 +35,10 @@ def asof_one_key(spark, sf_dir):
 @query("interval_overlap_join", """WITH a AS (SELECT p_partkey, p_retailprice::double AS s, p_retailprice::double + p_size * (1 + p_partkey % 5) AS e FROM part), b AS (SELECT c_custkey, c_acctbal::double AS s, c_acctbal::double + c_custkey % 300 AS e FROM customer)
 SELECT p_partkey, count(*) AS n, sum(c_custkey)::bigint AS keys FROM a JOIN b ON a.s < b.e AND b.s < a.e AND b.s < b.e GROUP BY 1""")
 def interval_overlap_join(spark, sf_dir):
-    """Ranges of prices that meet ranges of balances: equalities of buckets, no comparison of all with all."""
+    """Ranges of prices that meet ranges of balances: running sums over their edges, no pairs are made."""
     a = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("s"), (F.col("p_retailprice").cast("double") + F.col("p_size") * (1 + F.col("p_partkey") % 5)).alias("e"))
     b = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("s"), (F.col("c_acctbal").cast("double") + F.col("c_custkey") % 300).alias("e"))
-    pairs = ordered.interval_join(a, b, ("s", "e"), ("s", "e"), width=16)
-    return pairs.groupBy(F.col("a.p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.sum("b.c_custkey").alias("keys"))
+    return ordered.overlap_sums(a, b, ("s", "e"), ("s", "e"), ("p_partkey",), "c_custkey").withColumnRenamed("total", "keys")
 
 
 # --- identities --------------------------------------------------------------------------------------

@@ -5,6 +5,9 @@ key; what a range can't know is the last right row before it, one row for each r
 
 Intervals: every interval lies in at most two buckets of its own length (a power of two of the width), so joins are
 equalities of buckets at the longer one's level, and a long interval is not copied into many short buckets.
+
+Sums over the overlaps need no pairs: those that begin before an interval's end, less those that end by its start. Both
+are running sums over the edges of all intervals in one order.
 """
 
 from __future__ import annotations
@@ -129,3 +132,71 @@ def interval_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: t
     # at the longer one's level, in the cell where the overlap begins: each pair once
     once = (F.col("level") == F.greatest("a_l", "b_l")) & (F.col("cell") == F.floor(F.greatest("a_s", "b_s") / size))
     return pairs.where(once & (F.col("a_s") < F.col("b_e")) & (F.col("b_s") < F.col("a_e"))).select("a", "b")
+
+
+def _running(names: list[str]):
+    """Over the sorted edges of one range (group, side, count, weight): sums of the starts (or ends) before each asking edge, then the range's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        total, group = np.zeros(4, np.int64), None  # starts and their weights, ends and theirs
+        for b in batches:
+            group = b.column(0).type
+            side, weight = b.column(1).to_numpy(), b.column(2).to_numpy()
+            of = [(side == START), np.where(side == START, weight, 0), (side == END), np.where(side == END, weight, 0)]
+            sums = [np.cumsum(x, dtype=np.int64) + t for x, t in zip(of, total)]
+            before, after = np.flatnonzero(side == ASKS_STARTS), np.flatnonzero(side == ASKS_ENDS)
+            asks = np.r_[before, after]
+            if len(asks):
+                n, w = (np.r_[sums[i][before], -sums[i + 2][after]] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(asks)), pa.array(side[asks]), pa.array(n), pa.array(w), pa.array(np.full(len(asks), part, np.int32)), pa.nulls(len(asks), pa.list_(pa.int64()))], names=names)
+            total = np.array([x[-1] for x in sums], np.int64) if b.num_rows else total
+        if group is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, group), pa.array([START], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([part], pa.int32()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=names)
+
+    return run
+
+
+#: The sides of edges, in the order in which they stand at one place: what starts where an interval ends, or ends where it starts, does not overlap it.
+ASKS_STARTS, START, END, ASKS_ENDS = 0, 1, 2, 3
+
+
+def overlap_sums(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], group: Sequence[str], weight: str) -> DataFrame:
+    """group, n, total: for each group of rows of a, the pairs with a row of b that a_start < b_end and b_start < a_end hold for, and their sum of `weight`.
+
+    Groups without a pair are left out, and so are empty intervals of b; those of a overlap what they lie inside. NaN
+    is the greatest number, as in SQL. Weights are whole numbers without nulls whose sum over b fits a long. No pair is made
+    but of rows of a that end before they start.
+    """
+    a_start, a_end, b_start, b_end = (F.col(c).cast("double") + F.lit(0.0) for c in (*a_span, *b_span))  # one zero
+    key, far = F.struct(*group), F.lit(float("inf"))
+    forward, backward, real = a.where(a_start <= a_end), a.where((a_start > a_end) & (a_start < far) & (a_end > -far)), b.where(b_start < b_end)
+    kind = a.select(key.alias("g")).schema["g"].dataType
+    asks = forward.select(key.alias("g"), F.explode(F.array(F.struct(F.lit(ASKS_STARTS).alias("side"), a_end.alias("x")), F.struct(F.lit(ASKS_ENDS).alias("side"), a_start.alias("x")))).alias("e"), F.lit(0).cast("long").alias("w"))
+    edges = real.select(F.lit(None).cast(kind).alias("g"), F.explode(F.array(F.struct(F.lit(START).alias("side"), b_start.alias("x")), F.struct(F.lit(END).alias("side"), b_end.alias("x")))).alias("e"), F.col(weight).cast("long").alias("w"))
+    # the last column deals out edges of one place
+    ordered = asks.unionByName(edges).select("g", "e.side", "w", "e.x", F.xxhash64("g", "w").alias("h"))
+    ordered = ordered.repartitionByRange("x", "side", "h").sortWithinPartitions("x", "side").select("g", "side", "w")
+    schema = T.StructType([T.StructField("g", kind), T.StructField("side", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sums", T.ArrayType(T.LongType()))])
+    spark, at = a.sparkSession, shared_place(a.sparkSession, "overlaps")
+    ordered.mapInArrow(_running([f.name for f in schema]), schema).write.parquet(at)
+    found = spark.read.schema(schema).parquet(at)
+    # one row for each range: what stands before it
+    before, sums = [], [0, 0, 0, 0]
+    for r in sorted(found.where("sums is not null").select("part", "sums").collect(), key=lambda r: r.part):
+        before.append((r.part, *sums))
+        sums = [x + y for x, y in zip(sums, r.sums)]
+    into = spark.createDataFrame(before, "part int, starts long, start_total long, ends long, end_total long")
+    asked = found.where("sums is null").join(F.broadcast(into), "part")
+    first = F.col("side") == ASKS_STARTS
+    parts = asked.select("g", (F.col("n") + F.when(first, F.col("starts")).otherwise(-F.col("ends"))).alias("n"), (F.col("total") + F.when(first, F.col("start_total")).otherwise(-F.col("end_total"))).alias("total"))
+    low, high = backward.agg(F.min(a_end), F.max(a_start)).first()
+    if low is not None:
+        # those that hold the whole way back; only for the join, b is cut off where no such row lies
+        cut = real.select("*", F.greatest(b_start, F.lit(low - abs(low) - 1)).alias("cut_start"), F.least(b_end, F.lit(high + abs(high) + 1)).alias("cut_end")).where("cut_start < cut_end")
+        pairs = interval_join(backward, cut, a_span[::-1], ("cut_start", "cut_end"), 16.0)
+        inside = (F.col(f"a.{a_span[0]}") < F.col(f"b.{b_span[1]}")) & (F.col(f"b.{b_span[0]}") < F.col(f"a.{a_span[1]}"))
+        parts = parts.unionByName(pairs.where(inside).select(F.struct(*[F.col(f"a.{c}").alias(c) for c in group]).alias("g"), F.lit(1).cast("long").alias("n"), F.col(f"b.{weight}").cast("long").alias("total")))
+    return parts.groupBy("g").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0").select("g.*", "n", "total")

@@ -6,6 +6,7 @@ import time
 import duckdb
 
 from tessera import registry
+from tessera.operators import ordered
 from tessera.plans import relational
 from tessera.streaming import scan_trigger as G
 from tessera.streaming import trigger_queries
@@ -87,3 +88,29 @@ def test_scans_that_wait_for_centuries_are_dispatched(spark):
     got = ours.selectExpr("file_path", "risk_tier", "unix_micros(due)", "unix_micros(dispatched)", "n").collect()
     assert sorted(map(tuple, got)) == sorted(theirs)
     assert max(r[3] for r in theirs) > 9_300_000_000 * 10**6
+
+
+def test_overlap_sums(spark):
+    """Edges that meet, hot places, groups of several rows, and rows of either side that are empty, backward or no numbers."""
+    rng, less = random.Random(11), lambda x, y: (x != x, x) < (y != y, y) and x == x
+    width = (0, 0, 1, 2, 3, 40, -1, -6, None, float("nan"), float("inf"))
+    rows = lambda n: [(i, rng.choice((*range(n // 4), None)), s := rng.choice((float(rng.randrange(20)), 7.0, float("-inf"))), None if (w := rng.choice(width)) is None else s + w) for i in range(n)]
+    schema = "id long, g int, s double, e double"
+    for n, m in ((300, 200), (40, 0), (0, 40)):
+        a, b = rows(n), rows(m)
+        want = {}
+        for _, g, s, e in a:
+            for j, _, t, u in b:
+                if e is not None and u is not None and less(s, u) and less(t, e) and less(t, u):
+                    want[g] = (want.get(g, (0, 0))[0] + 1, want.get(g, (0, 0))[1] + j)
+        got = ordered.overlap_sums(spark.createDataFrame(a, schema).repartition(3), spark.createDataFrame(b, schema), ("s", "e"), ("s", "e"), ("g",), "id").collect()
+        assert {r.g: (r.n, r.total) for r in got} == want and len(got) == len(want)
+
+
+def test_overlaps_are_summed_without_pairs(spark, tmp_path):
+    """Sixteen hundred million pairs: more than could be made in a test's time."""
+    spark.range(40_000).selectExpr("id as p_partkey", "'x' as p_brand", "1 + cast(id % 50 as int) as p_size", "900.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 40_001).selectExpr("id * 300 + 299 as c_custkey", "700.0D as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["interval_overlap_join"](spark, str(tmp_path)).selectExpr("count(*) c", "min(n)", "max(n)", "min(keys)", "max(keys)").first()
+    keys = sum(300 * i + 299 for i in range(1, 40_001))
+    assert tuple(got) == (40_000, 40_000, 40_000, keys, keys)

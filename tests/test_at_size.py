@@ -114,3 +114,15 @@ def test_overlaps_are_summed_without_pairs(spark, tmp_path):
     got = registry.queries()["interval_overlap_join"](spark, str(tmp_path)).selectExpr("count(*) c", "min(n)", "max(n)", "min(keys)", "max(keys)").first()
     keys = sum(300 * i + 299 for i in range(1, 40_001))
     assert tuple(got) == (40_000, 40_000, 40_000, keys, keys)
+
+
+def test_range_join_meets_only_what_it_returns(spark, tmp_path):
+    """Twenty thousand million pairs of one size but for the fraction: all go before the join. Values that fit no integer match nothing."""
+    spark.range(40_000).selectExpr("id as p_partkey", "7 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    value = "case when id < 3 then 7.0 + id / 100 when id = 3 then 'NaN' when id = 4 then 'Infinity' when id = 5 then 3e9 when id = 6 then null else 7.5 end"
+    spark.range(500_000).selectExpr("id as event_id", "timestamp '2024-01-01' as ts", "id as user_id", "'view' as event_type", f"cast({value} as double) as value").write.parquet(f"{tmp_path}/events.parquet")
+    for t in ("documents", "labels", "lineitem", "orders", "customer", "nation"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    got = registry.queries()["adhoc_range_join"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.groupBy("event_id").count().collect()} == {(0, 40_000), (1, 40_000)}
+    assert got.rdd.getNumPartitions() > 8  # however few rows meet so often

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from tessera import taxonomy as X
 ACTIONS = ("read", "write", "delete", "rename", "permission_change", "execute")
 DEBOUNCE = {"CRITICAL": 2, "HIGH": 5, "MEDIUM": 30, "LOW": 30, "MINIMAL": 30}
 COOLDOWN, RATE, RATE_SECONDS, RETRY = 60, 10, 60, 5
+#: Times of a file that are Python numbers at once.
+PART = 50_000
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -84,12 +87,16 @@ class Cooldown:
                 self.last = handle.getValueState("last", "at double")
 
             def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-                got = pd.concat(rows).sort_values("at")
+                times = np.sort(np.concatenate([r["at"].to_numpy() for r in rows]))
                 last = self.last.get()[0] if self.last.exists() else None
-                for at in got["at"].tolist():
-                    if last is None or at - last >= cooldown:
-                        last = at
-                        yield pd.DataFrame({"file_path": [key[0]], "at": [at]})
+                for i in range(0, len(times), PART):
+                    passed = []
+                    for at in times[i : i + PART].tolist():
+                        if last is None or at - last >= cooldown:
+                            last = at
+                            passed.append(at)
+                    if passed:  # one frame for many passes: a frame costs more than thousands of rows
+                        yield pd.DataFrame({"file_path": key[0], "at": passed})
                 if last is not None:
                     self.last.update((last,))
 

@@ -4,12 +4,13 @@ import random
 import time
 
 import duckdb
+import pandas as pd
 
 from tessera import registry
 from tessera.operators import ordered
 from tessera.plans import relational
 from tessera.streaming import scan_trigger as G
-from tessera.streaming import trigger_queries
+from tessera.streaming import streams, trigger_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -126,3 +127,25 @@ def test_range_join_meets_only_what_it_returns(spark, tmp_path):
     got = registry.queries()["adhoc_range_join"](spark, str(tmp_path))
     assert {tuple(r) for r in got.groupBy("event_id").count().collect()} == {(0, 40_000), (1, 40_000)}
     assert got.rdd.getNumPartitions() > 8  # however few rows meet so often
+
+
+def test_cooldown_gives_its_passes_in_few_frames():
+    """A file's passes of a batch come as one frame, not each as a frame of its own; the state goes on to the next batch."""
+    class Last:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    rng, last, processor = random.Random(12), None, streams.Cooldown(60)
+    processor.last = Last()
+    for k in range(3):
+        times, want = [float(10**6 * k + rng.randrange(400_000)) for _ in range(20_000)], []
+        for at in sorted(times):
+            if last is None or at - last >= 60:
+                last = at
+                want.append(at)
+        (frame,) = processor.handleInputRows(("f",), iter([pd.DataFrame({"file_path": "f", "at": times[i::3]}) for i in range(3)]), None)
+        assert frame["at"].tolist() == want and set(frame["file_path"]) == {"f"} and len(want) > 1000
